@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamloom.llm.nearest import match_nearest
 from streamloom.llm.runs import collapse_runs
 from streamloom.sources.tables import table
 
@@ -26,5 +27,30 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return quote_runs(spark, d, 1)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed)}
-SQL: dict[str, str] = {}
+def p3_matched(spark: SparkSession, d: str) -> DataFrame:
+    """Every trade with the bid and ask of the quote nearest to it, nulls where none is within five seconds."""
+    quotes = table(spark, d, "quotes").where("bid is not null and ask is not null")
+    return match_nearest(
+        table(spark, d, "trades"), quotes, entity="ticker", time="time", left_id="seq", right_id="seq", tolerance_us=5_000_000,
+        left_columns=["ticker", "price"], right_columns=["bid", "ask"],
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matched(spark, d).where("right_seq is not null").select(F.col("left_seq").alias("trade_seq"), F.col("right_seq").alias("quote_seq"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_matched)}
+_MATCHED = """WITH t AS (SELECT min(seq) AS seq, ticker, time, price FROM trades GROUP BY ticker, time, price, quantity, board, source, buyer, seller, initiator),
+q AS (SELECT ticker, time, min(seq) AS seq, arg_min(bid, seq) AS bid, arg_min(ask, seq) AS ask FROM quotes
+  WHERE bid IS NOT NULL AND ask IS NOT NULL AND ticker IS NOT NULL AND time IS NOT NULL GROUP BY ticker, time),
+pairs AS (SELECT t.seq, t.ticker, t.price, epoch_us(t.time) AS tt, b.seq AS bs, b.bid AS bb, b.ask AS ba, epoch_us(b.time) AS bt, f.seq AS fs, f.bid AS fb, f.ask AS fa, epoch_us(f.time) AS ft
+  FROM t ASOF LEFT JOIN q b ON t.ticker = b.ticker AND t.time >= b.time ASOF LEFT JOIN q f ON t.ticker = f.ticker AND t.time <= f.time),
+near AS (SELECT *, CASE WHEN tt - bt <= 5000000 AND (ft IS NULL OR tt - bt <= ft - tt) THEN 'b' WHEN ft - tt <= 5000000 THEN 'f' END AS side FROM pairs) """
+
+SQL: dict[str, str] = {
+    "p3_found": _MATCHED + "SELECT seq AS trade_seq, CASE side WHEN 'b' THEN bs ELSE fs END AS quote_seq FROM near WHERE side IS NOT NULL",
+    "p3_matched": _MATCHED + """SELECT seq AS left_seq, ticker AS left_ticker, price AS left_price, CASE side WHEN 'b' THEN bs WHEN 'f' THEN fs END AS right_seq,
+CASE side WHEN 'b' THEN bb WHEN 'f' THEN fb END AS right_bid, CASE side WHEN 'b' THEN ba WHEN 'f' THEN fa END AS right_ask,
+CASE side WHEN 'b' THEN bt - tt WHEN 'f' THEN ft - tt END AS gap_us FROM near""",
+}
