@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamloom.llm.contamination import find_leaks
+from streamloom.llm.mixing import mix_sources
 from streamloom.llm.nearest import match_nearest
 from streamloom.llm.runs import collapse_runs
+from streamloom.llm.splitting import split_oversized
 from streamloom.sources.tables import table
 
 
@@ -40,7 +43,35 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_matched(spark, d).where("right_seq is not null").select(F.col("left_seq").alias("trade_seq"), F.col("right_seq").alias("quote_seq"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_matched)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(
+        table(spark, d, "documents"), table(spark, d, "mix_targets"), doc_id="doc_id", text="text", source="source",
+        language=F.element_at(F.split(F.lower(F.trim("lang")), "-"), 1), languages=["en", "de", "es", "ja"],
+        topic=F.col("namespace").cast("string"), topics=["0", "1", "100"],
+    )
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "documents"), item_id="doc_id", text="text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_pieces(spark, d).where("piece = 0").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_matched, p6_found, p7_mix, p7_shares, p8_found, p8_pieces)}
 _MATCHED = """WITH t AS (SELECT min(seq) AS seq, ticker, time, price FROM trades GROUP BY ticker, time, price, quantity, board, source, buyer, seller, initiator),
 q AS (SELECT ticker, time, min(seq) AS seq, arg_min(bid, seq) AS bid, arg_min(ask, seq) AS ask FROM quotes
   WHERE bid IS NOT NULL AND ask IS NOT NULL AND ticker IS NOT NULL AND time IS NOT NULL GROUP BY ticker, time),
