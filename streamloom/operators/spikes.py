@@ -10,7 +10,8 @@ Rules, each per source and field:
 - frozen: one of at least ``stuck`` equal non-null readings in a row within a date;
 - spike of a level: picked out by a Hampel filter (rolling median and rolling median absolute deviation),
   then confirmed: one of at most ``longest`` possible readings in a row that depart to one side, by more
-  than ``jump`` times the usual change, from the last sound reading before and the first sound one after;
+  than ``jump`` times the usual change, from the last sound reading before and the first sound one after
+  (frozen and impossible readings are not sound);
 - spike of a size: more than ``burst`` times the source's median.
 
 Defined cases: null readings are skipped; a null source or time gives no flags; equal times are ordered by
@@ -34,12 +35,13 @@ CONTEXT = 64
 FLUSH = 200_000
 
 
-def hampel(x: np.ndarray, at: np.ndarray, usual: float, widths: Sequence[int] = (7, 15)) -> np.ndarray:
-    """Which of the readings ``at`` stand off their rolling median by more than three scaled absolute
-    deviations or six usual changes, whichever is less: wide on purpose, the confirmation follows."""
+def hampel(x: np.ndarray, at: np.ndarray, usual: float, windows: Sequence[tuple[int, int]] = ((-3, 3), (-7, 7), (-7, 0), (0, 7))) -> np.ndarray:
+    """Which of the readings ``at`` stand off a rolling median by more than three scaled absolute deviations
+    or six usual changes, whichever is less: wide on purpose, the confirmation follows. Besides centred
+    windows there are trailing and leading ones, for readings beside a level's move."""
     out = np.zeros(len(at), bool)
-    for w in widths:
-        places = at[:, None] + np.arange(-(w // 2), w // 2 + 1)
+    for first, last in windows:
+        places = at[:, None] + np.arange(first, last + 1)
         window = np.where((places >= 0) & (places < len(x)), x[places.clip(0, len(x) - 1)], np.nan)
         med = np.nanmedian(window, axis=1)
         mad = np.nanmedian(np.abs(window - med[:, None]), axis=1)
@@ -78,8 +80,12 @@ def judge(v: np.ndarray, level: bool, usual: float, jump: float, longest: int, b
     if not len(v):
         return out
     possible = v > 0  # false for NaN
+    ends = np.flatnonzero(np.append(v[1:] != v[:-1], True))
+    lengths = np.diff(np.append(-1, ends))
+    frozen = np.repeat(lengths >= stuck, lengths)
     if usual > 0:
-        at = np.flatnonzero(possible)
+        # what is impossible or frozen is not sound, so a level's spikes are told from the readings beside it
+        at = np.flatnonzero(possible & ~frozen)
         x = v[at]
         spike = np.zeros(len(x), bool)
         if not level:
@@ -90,9 +96,7 @@ def judge(v: np.ndarray, level: bool, usual: float, jump: float, longest: int, b
             spike[near] = hampel(x, near, usual)
             spike = confirmed(x, spike, usual, jump, longest)
         out[at[spike]] = 3
-    ends = np.flatnonzero(np.append(v[1:] != v[:-1], True))
-    lengths = np.diff(np.append(-1, ends))
-    out[np.repeat(lengths >= stuck, lengths)] = 2
+    out[frozen] = 2
     out[~possible] = 1
     return out
 
