@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.bounds import broadcast_if_small, clock_slice, one_of_copies
+from streamloom.bounds import broadcast_if_small, clock_slice
 
 _GROUP = ("ent", "day", "slice")
 
@@ -59,6 +59,18 @@ def _numbers(table, fields: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return values, nulls
 
 
+def _pieces(table, fields: Sequence[str]):
+    """Events of one value and one difference of row numbers as one: its first event, the time and ``seq``
+    of its last, and their number."""
+    import pyarrow as pa
+
+    first = np.flatnonzero(_changes(table, [*_GROUP, "step", *fields]))
+    last = np.append(first[1:], table.num_rows) - 1
+    out = table.take(pa.array(first)).drop_columns(["step"]).rename_columns({"t": "t0", "s": "s0"})
+    out = out.append_column("t1", table.column("t").take(pa.array(last))).append_column("s1", table.column("s").take(pa.array(last)))
+    return out.append_column("n", pa.array(last - first + 1)).combine_chunks()
+
+
 def _break(values: np.ndarray, nulls: np.ndarray, tol: np.ndarray, n_abs: int, rel: float) -> np.ndarray:
     """Whether a row and the one before it can't lie within tolerance of any third, from the second row on."""
     x, y = values[:-1], values[1:]
@@ -83,8 +95,8 @@ def within(anchor: Sequence, event: Sequence, tol: float, n_abs: int, rel: float
 
 
 def _local_pass(fields: Sequence[str], n_abs: int, rel: float, least: int):
-    """Pieces, in order within slices, to runs. ``kind`` 0: a piece before its slice's first certain break;
-    1: the last run of a slice; 2: a closed run, kept if it has ``least`` events."""
+    """Numbered events, in order within slices, to runs. ``kind`` 0: a piece before its slice's first
+    certain break; 1: the last run of a slice; 2: a closed run, kept if it has ``least`` events."""
     names = [*_GROUP, *fields, "tol", "t0", "s0", "t1", "s1", "n"]
 
     def run(batches: Iterator) -> Iterator:
@@ -104,7 +116,7 @@ def _local_pass(fields: Sequence[str], n_abs: int, rel: float, least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).select(names)
+            table = _pieces(pa.Table.from_batches([batch]), fields).select(names)
             table = table.cast(pa.schema([f.with_nullable(True) for f in table.schema]))
             lead = 0 if before is None else 1
             if lead:
@@ -224,39 +236,37 @@ def collapse_runs(
     fields = [*absolute, *relative]
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
     kinds = dict(df.dtypes)
-    at = F.col(place[time])
-    raw = df.toDF(*place.values()).withColumns(
-        {
-            "ent": F.col(place[entity]),
-            "day": F.to_date(at),
-            "slice": F.when(at.isNotNull() & F.col(place[entity]).isNotNull(), clock_slice(at, slice_seconds)).otherwise(F.pmod(F.xxhash64(*[c for c in place.values() if c != place[seq]]), F.lit(1024)).cast("int")),
-        }
-    )
-    one = one_of_copies(raw.repartition(*_GROUP), place[seq])
     names = [f"f{i}" for i in range(len(fields))]
+    others = [c for n, c in place.items() if n not in (entity, time, seq, *fields)]
 
     def canonical(c: str):
         col = F.col(place[c])
         return col + F.lit(0.0) if kinds[c] in ("double", "float") else col  # -0.0 becomes 0.0
 
-    events = one.select(*_GROUP, at.alias("t"), F.col(place[seq]).alias("s"), *[canonical(c).alias(n) for c, n in zip(fields, names)])
-    in_slice = Window.partitionBy(*_GROUP).orderBy("t", "s")
-    of_value = Window.partitionBy(*_GROUP, *names).orderBy("t", "s")
-    numbered = events.withColumn("step", F.row_number().over(of_value)).withColumn("step", F.row_number().over(in_slice) - F.col("step"))
-    # events that stand alone are told apart by their seq
-    apart = F.when(F.col("ent").isNull() | F.col("t").isNull(), F.col("s"))
-    pieces = numbered.groupBy(*_GROUP, *names, "step", apart.alias("apart")).agg(
-        F.min(F.struct("t", "s")).alias("a"), F.max(F.struct("t", "s")).alias("z"), F.count(F.lit(1)).alias("n")
+    raw = df.toDF(*place.values()).select(
+        F.col(place[entity]).alias("ent"), F.col(place[time]).alias("t"), F.col(place[seq]).alias("s"), *[canonical(c).alias(n) for c, n in zip(fields, names)], *others
     )
-    tol = F.lit(0.0)
+    alone = F.col("ent").isNull() | F.col("t").isNull()
+    spread = F.pmod(F.xxhash64(*[c for c in raw.columns if c != "s"]), F.lit(1024)).cast("int")
+    raw = raw.withColumns({"day": F.to_date("t"), "slice": F.when(alone, spread).otherwise(clock_slice(F.col("t"), slice_seconds)), "tol": F.lit(0.0)})
     if tolerance is not None:
-        side = tolerance.select(F.col("ent").alias("of_ent"), F.col("tol").cast("double").alias("tol"))
-        pieces, tol = pieces.join(broadcast_if_small(side), F.col("ent") == F.col("of_ent"), "left"), F.coalesce("tol", F.lit(0.0))
-    pieces = pieces.select(*_GROUP, *names, tol.alias("tol"), F.col("a.t").alias("t0"), F.col("a.s").alias("s0"), F.col("z.t").alias("t1"), F.col("z.s").alias("s1"), "n")
-    types = dict(pieces.dtypes)
-    runs_schema = ", ".join(f"{c} {types[c]}" for c in pieces.columns) + ", kind int"
+        side = tolerance.select(F.col("ent").alias("of_ent"), F.col("tol").cast("double").alias("of_tol"))
+        raw = raw.join(broadcast_if_small(side), F.col("ent") == F.col("of_ent"), "left").withColumn("tol", F.coalesce("of_tol", "tol")).drop("of_ent", "of_tol")
+    # all that follows up to the first pass happens in this partitioning; nothing is joined in it
+    events = raw.repartition(*_GROUP)
+    alike = Window.partitionBy(*_GROUP, *names, *others).orderBy("t", "s")
+    events = events.withColumn("copy", F.lag("t").over(alike).eqNullSafe(F.col("t")) & (F.row_number().over(alike) > 1)).where("not copy")
+    in_slice = Window.partitionBy(*_GROUP).orderBy("t", "s")
+    of_value = Window.partitionBy(*_GROUP, *names).orderBy("t", "s")
+    # events that stand alone are told apart by their own number
+    step = F.when(alone, F.col("in_slice")).otherwise(F.col("in_slice") - F.col("of_value"))
+    numbered = events.withColumn("of_value", F.row_number().over(of_value)).withColumn("in_slice", F.row_number().over(in_slice))
+    numbered = numbered.select(*_GROUP, *names, "tol", "t", "s", step.alias("step"))
+    types = dict(numbered.dtypes)
+    types |= {"t0": types["t"], "t1": types["t"], "s0": types["s"], "s1": types["s"], "n": "bigint"}
+    runs = [*_GROUP, *names, "tol", "t0", "s0", "t1", "s1", "n"]
     sizes = (len(absolute), rel_tolerance, least)
-    local = pieces.sortWithinPartitions(*_GROUP, "t0", "s0").mapInArrow(_local_pass(names, *sizes), runs_schema)
+    local = numbered.sortWithinPartitions(*_GROUP, "t", "s").mapInArrow(_local_pass(names, *sizes), ", ".join(f"{c} {types[c]}" for c in runs) + ", kind int")
     met = local.withColumn("part", F.when(F.col("kind") == 2, F.col("slice")).otherwise(F.lit(-1)))
     met = met.repartition("ent", "day", "part").sortWithinPartitions("ent", "day", "part", "slice", "t0", "s0")
     out = ["ent", "day", *names, "t0", "s0", "t1", "s1", "n"]
