@@ -1,6 +1,6 @@
 """A Python data source for pull-style event iterators: ``spark.read.format("event_iterator")``.
 
-Options: ``module`` and ``function`` name a function that returns an iterable of rows, ``schema`` is given by
+Options: ``module`` and ``function`` name a function that returns an iterable of rows (or of single values), ``schema`` is given by
 the reader. Each of ``partitions`` readers calls the function with its number and the number of readers."""
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ class _Reader(DataSourceReader):
         import importlib
 
         make = getattr(importlib.import_module(self.options["module"]), self.options["function"])
-        yield from map(tuple, make(partition.value, int(self.options.get("partitions", "1"))))
+        for row in make(partition.value, int(self.options.get("partitions", "1"))):
+            yield tuple(row) if isinstance(row, (tuple, list)) else (row,)
 
 
 def register(spark: SparkSession) -> None:
