@@ -1,9 +1,10 @@
 """Wrong, frozen and impossible readings, judged by what is usual for their source.
 
 Readings are cut by source, date and slice of the day, so a hot source is spread over as many tasks as it
-has slices. Inside a slice one streaming pass looks at each reading with its neighbours; the readings near
-a slice's ends go, raw, to a second small pass in which the slices of a date meet. What is usual for a
-source is an exact median, taken from counts per distinct change, never from a collected group.
+has slices. A first job finds what is usual for each source: an exact median, taken from counts per distinct
+change, never from a collected group; its small result is kept by a checkpoint. In the second job one
+streaming pass looks at each reading with its neighbours inside its slice; the readings near a slice's ends
+go, raw, to a small pass in which the slices of a date meet.
 
 Rules, each per source and field:
 - impossible: not a number, zero or negative;
@@ -29,9 +30,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.bounds import broadcast_if_small, clock_slice, one_of_copies
+from streamloom.bounds import broadcast_if_small, clock_slice
+from streamloom.session import durable
 
-CONTEXT = 64
+CONTEXT = 32
 FLUSH = 200_000
 
 
@@ -101,8 +103,8 @@ def judge(v: np.ndarray, level: bool, usual: float, jump: float, longest: int, b
     return out
 
 
-_KEYS = ("src", "fld", "day", "slice")
-_FIRST = "src string, fld int, day date, slice int, t timestamp_ntz, s bigint, v double, usual double, flag int, edge boolean, open boolean, gap boolean"
+_GROUP = ("src", "day", "slice")
+_EDGE = "src string, fld int, day date, slice int, t timestamp_ntz, s bigint, v double, usual double, flag int, edge boolean, open boolean, gap boolean"
 _LAST = "src string, fld int, t timestamp_ntz, s bigint, v double, flag int"
 
 
@@ -121,76 +123,195 @@ def _new_group(table, names: Sequence[str]) -> np.ndarray:
     return new
 
 
-def _first_pass(levels: int, rules: dict, margin: int):
+def _without_copies(table, others: Sequence[str]):
+    """Of rows equal in all columns but the last, the first; copies have equal times and so are together."""
+    import pyarrow as pa
+
+    t = table.column("t").cast("int64").to_numpy()
+    tied = np.zeros(len(t), bool)
+    tied[1:] = (t[1:] == t[:-1]) & ~_new_group(table, _GROUP)[1:]
+    tied[:-1] |= tied[1:]
+    at = np.flatnonzero(tied)
+    if not len(at):
+        return table
+    rows = zip(*[table.column(c).take(pa.array(at)).to_pylist() for c in (*_GROUP, "t", *others)])
+    seen, drop = set(), []
+    for i, row in zip(at.tolist(), rows):
+        row = tuple("nan" if v != v else v for v in row)
+        if row in seen:
+            drop.append(i)
+        seen.add(row)
+    return table.take(pa.array(np.delete(np.arange(len(t)), drop))) if drop else table
+
+
+def _stretches(batches: Iterator, others: Sequence[str]) -> Iterator:
+    """Sorted batches as ``(table, groups)``, where ``groups`` has ``(first, last, begins, ends)`` of each
+    stretch of a slice. A slice of more than ``FLUSH`` rows comes in several, cut between two times."""
+    import pyarrow as pa
+
+    rest, begins = None, True
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        table = _without_copies(table.combine_chunks(), others).combine_chunks()
+        starts = np.flatnonzero(_new_group(table, _GROUP)).tolist()
+        groups = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            groups.append((a, b, begins, True))
+            begins = True
+        last = starts[-1]
+        if table.num_rows - last > FLUSH:
+            t = table.column("t").cast("int64").to_numpy()
+            cut = last + int(np.searchsorted(t[last:], t[-1]))  # copies of the last time may still follow
+            if cut > last:
+                groups.append((last, cut, begins, False))
+                begins, last = False, cut
+        if groups:
+            yield table, groups
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), [(0, rest.num_rows, begins, True)]
+
+
+def _values(table, fields: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per field: values (null as 0) and where they are not null."""
+    import pyarrow.compute as pc
+
+    out = []
+    for i in range(fields):
+        col = table.column(f"v{i}").combine_chunks()
+        out.append((pc.fill_null(col, 0.0).to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)))
+    return out
+
+
+_COUNTS = "src string, fld int, day date, slice int, unit double, x double, z double, n bigint"
+
+
+def _count_pass(levels: int, fields: int, others: Sequence[str]):
+    """Counts of distinct changes (levels) and readings (sizes) per source and field, and, with a count of
+    0, the first and last possible reading of every slice, by which changes between slices are found."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("src", pa.string()), ("fld", pa.int32()), ("day", pa.date32()), ("slice", pa.int32()), *[(c, pa.float64()) for c in ("unit", "x", "z")], ("n", pa.int64())])
+        carried: dict = {}
+        for table, groups in _stretches(batches, others):
+            tick = table.column("tick").to_numpy(zero_copy_only=False)
+            values = _values(table, fields)
+            rows = []
+            for a, b, begins, ends in groups:
+                src, day, part = (table.column(c)[a].as_py() for c in _GROUP)
+                unit = float(tick[a]) if tick[a] > 0 else None
+                for f, (v, there) in enumerate(values):
+                    x = v[a:b][there[a:b]]
+                    x = x[x > 0]
+                    if f >= levels:
+                        found, n = np.unique(x, return_counts=True)
+                        rows += [(src, f, None, None, None, y, None, k) for y, k in zip(found.tolist(), n.tolist())]
+                        continue
+                    before = carried.pop(f, None) if not begins else None
+                    if before is not None:
+                        x = np.concatenate([[before[1]], x])
+                    if not len(x):
+                        continue
+                    change = np.abs(np.diff(x))
+                    change = change[change >= unit * (1 - 1e-6)] if unit else change[change > 0]
+                    # float noise of differences, below a thousandth of a tick, is rounded away
+                    found, n = np.unique(np.round(change / unit, 3) if unit else change, return_counts=True)
+                    rows += [(src, f, None, None, unit, y, None, k) for y, k in zip(found.tolist(), n.tolist())]
+                    first = before[0] if before is not None else float(x[0])
+                    if ends:
+                        rows.append((src, f, day, part, unit, first, float(x[-1]), 0))
+                    else:
+                        carried[f] = (first, float(x[-1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _flag_pass(levels: int, fields: int, others: Sequence[str], rules: dict, margin: int):
     """Flags readings with ``margin`` neighbours on both sides inside their slice; keeps the raw readings
     within twice the margin of a slice's ends (``edge``), those within the margin still ``open``."""
 
+    def work(v: np.ndarray, level: bool, usual: float, begins: bool, ends: bool):
+        n = len(v)
+        place = np.arange(n)
+        flag = judge(v, level, usual, **rules)
+        flag[(place < margin) | (place >= n - margin)] = 0
+        edge = (begins & (place < 2 * margin)) | (ends & (place >= n - 2 * margin))
+        open_ = (begins & (place < margin)) | (ends & (place >= n - margin))
+        gap = np.zeros(n, bool)
+        if n and ends and (n > 4 * margin or not begins):
+            gap[max(0, n - 2 * margin)] = True  # what lies before it in the slice is left out
+        keep = np.flatnonzero((flag > 0) | edge)
+        return keep, flag[keep], edge[keep], open_[keep], gap[keep]
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def work(table, a: int, b: int, begins: bool, ends: bool):
-            n = b - a
-            place = np.arange(n)
-            level = table.column("fld")[a].as_py() < levels
-            usual = table.column("usual")[a].as_py()
-            flag = judge(v[a:b], level, usual or 0.0, **rules)
-            flag[(place < margin) | (place >= n - margin)] = 0
-            tail = ends & (place >= n - 2 * margin)
-            edge = (begins & (place < 2 * margin)) | tail
-            open_ = (begins & (place < margin)) | (ends & (place >= n - margin))
-            gap = np.zeros(n, bool)
-            if ends and (n > 4 * margin or not begins):
-                gap[max(0, n - 2 * margin)] = True  # what lies before it in the slice is left out
-            keep = np.flatnonzero((flag > 0) | edge)
-            return keep + a, flag[keep], edge[keep], open_[keep], gap[keep]
-
-        def emit(table, parts):
-            at, flag, edge, open_, gap = (np.concatenate(x) for x in zip(*parts))
-            out = table.take(pa.array(at))
-            for name, x in (("flag", flag.astype(np.int32)), ("edge", edge), ("open", open_), ("gap", gap)):
-                out = out.append_column(name, pa.array(x))
-            yield from out.to_batches()
+        tails: dict = {}
+        for table, groups in _stretches(batches, others):
+            values, usuals = _values(table, fields), [table.column(f"u{i}").to_numpy(zero_copy_only=False) for i in range(fields)]
+            for f, (v, there) in enumerate(values):
+                at, parts = [], []
+                for a, b, begins, ends in groups:
+                    rows = np.flatnonzero(there[a:b]) + a
+                    held = tails.pop(f, None) if not begins else None
+                    if held is not None or not ends:
+                        # across stretches of one long slice the readings themselves are carried
+                        mine = table.select(["src", "day", "slice", "t", "s"]).take(pa.array(rows)).append_column("v", pa.array(v[rows]))
+                        mine = mine if held is None else pa.concat_tables([held[0], mine]).combine_chunks()
+                        first = begins if held is None else held[1]
+                        keep, *marks = work(mine.column("v").to_numpy(), f < levels, usuals[f][a], first, ends)
+                        yield from _emit(mine, keep, marks, f, usuals[f][a])
+                        if not ends:
+                            n = mine.num_rows
+                            whole = n <= 6 * margin  # too few to settle any
+                            tails[f] = (mine if whole else mine.slice(n - 2 * margin).combine_chunks(), first if whole else False)
+                        continue
+                    keep, *marks = work(v[rows], f < levels, usuals[f][a], True, True)
+                    at.append(rows[keep])
+                    parts.append(marks)
+                if at:
+                    at = np.concatenate(at)
+                    mine = table.select(["src", "day", "slice", "t", "s"]).take(pa.array(at)).append_column("v", pa.array(v[at]))
+                    yield from _emit(mine, np.arange(len(at)), [np.concatenate(x) for x in zip(*parts)], f, usuals[f][at])
+
+    def _emit(mine, keep, marks, f: int, usual):
+        import pyarrow as pa
 
-        rest, begins = None, True
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-            if not table.num_rows:
-                continue
-            v = table.column("v").to_numpy()
-            starts = np.flatnonzero(_new_group(table, _KEYS))
-            parts = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                parts.append(work(table, a, b, begins, True))
-                begins = True
-            last = int(starts[-1])
-            if table.num_rows - last > FLUSH:
-                parts.append(work(table, last, table.num_rows, begins, False))
-                begins, last = False, table.num_rows - 2 * margin
-            if parts:
-                yield from emit(table, parts)
-            rest = table.slice(last)
-        if rest is not None and rest.num_rows:
-            v = rest.column("v").to_numpy()
-            yield from emit(rest, [work(rest, 0, rest.num_rows, begins, True)])
+        if not len(keep):
+            return
+        mine = mine.take(pa.array(keep))
+        flag, edge, open_, gap = marks
+        columns = {
+            "src": mine.column("src"), "fld": pa.array(np.full(len(keep), f, np.int32)), "day": mine.column("day"), "slice": mine.column("slice"), "t": mine.column("t"), "s": mine.column("s"),
+            "v": mine.column("v"), "usual": pa.array(np.broadcast_to(np.asarray(usual, float), len(keep))), "flag": pa.array(flag.astype(np.int32)), "edge": pa.array(edge), "open": pa.array(open_), "gap": pa.array(gap),
+        }
+        yield from pa.table(columns).to_batches()
 
     return run
 
 
-def _second_pass(levels: int, rules: dict):
+def _seam_pass(levels: int, rules: dict):
     """Judges the open readings where the slices of a date meet, and passes on what is flagged already.
     The edges of one date are bounded by its number of slices, not by its readings."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["src", "fld", "t", "s", "v", "flag"]
+        names = ["src", "fld", "t", "s", "v"]
+        one = ("src", "fld", "day", "part")
 
         def work(table):
             flag = table.column("flag").to_numpy().copy()
             v, open_ = table.column("v").to_numpy(), table.column("open").to_numpy()
             edge = table.column("edge").to_numpy()
-            starts = np.flatnonzero((_new_group(table, ("src", "fld", "day", "part")) | table.column("gap").to_numpy()) & edge)
+            starts = np.flatnonzero((_new_group(table, one) | table.column("gap").to_numpy()) & edge)
             bounds = [*starts.tolist(), table.num_rows]
             fld, usual = table.column("fld").to_numpy(), table.column("usual").to_numpy(zero_copy_only=False)
             inner = np.flatnonzero(~edge)
@@ -200,7 +321,7 @@ def _second_pass(levels: int, rules: dict):
                 found = judge(v[a:b], fld[a] < levels, usual[a], **rules)
                 flag[a:b] = np.where(open_[a:b], found, flag[a:b])
             at = np.flatnonzero(flag > 0)
-            out = table.select(names[:-1]).take(pa.array(at)).append_column("flag", pa.array(flag[at].astype(np.int32)))
+            out = table.select(names).take(pa.array(at)).append_column("flag", pa.array(flag[at].astype(np.int32)))
             yield from out.to_batches()
 
         rest = None
@@ -209,7 +330,7 @@ def _second_pass(levels: int, rules: dict):
             table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
             if not table.num_rows:
                 continue
-            last = int(np.flatnonzero(_new_group(table, ("src", "fld", "day", "part")))[-1])
+            last = int(np.flatnonzero(_new_group(table, one))[-1])
             if last:
                 yield from work(table.slice(0, last).combine_chunks())
             rest = table.slice(last).combine_chunks()
@@ -219,33 +340,22 @@ def _second_pass(levels: int, rules: dict):
     return run
 
 
-def _possible(v: str = "v"):
-    return (F.col(v) > 0) & ~F.isnan(v)
-
-
-def usual_values(readings: DataFrame, ticks: DataFrame, levels: int) -> DataFrame:
+def usual_values(rows: DataFrame, levels: int, fields: int, others: Sequence[str]) -> DataFrame:
     """``src, fld, usual``: the exact median of what is usual. For a level field, of the absolute changes
-    of a tick or more between neighbours within a date; for a size field, of the readings.
-
-    Changes are counted per distinct value before the median is sought, so nothing grows with the rows of
-    a source. Changes across slice borders come from the first and last reading of each slice."""
-    possible = readings.where(_possible())
-    slices = ["src", "fld", "day", "slice"]
-    w = Window.partitionBy(*slices).orderBy("t", "s")
-    inside = possible.where(F.col("fld") < levels).select("src", "fld", F.abs(F.col("v") - F.lag("v").over(w)).alias("x"))
-    ends = possible.where(F.col("fld") < levels).groupBy(*slices).agg(F.min_by("v", F.struct("t", "s")).alias("a"), F.max_by("v", F.struct("t", "s")).alias("z"))
-    across = ends.select("src", "fld", F.abs(F.col("a") - F.lag("z").over(Window.partitionBy("src", "fld", "day").orderBy("slice"))).alias("x"))
-    changes = inside.unionByName(across).where("x > 0").join(broadcast_if_small(ticks), "src", "left")
-    changes = changes.where(F.col("tick").isNull() | (F.col("x") >= F.col("tick") * (1 - 1e-6)))
-    # float noise of differences is rounded away below a thousandth of a tick, so that equal changes are one value
-    units = changes.select("src", "fld", F.coalesce("tick", F.lit(1.0)).alias("unit"), F.round(F.col("x") / F.coalesce("tick", F.lit(1.0)), 3).alias("x"))
-    sizes = possible.where(F.col("fld") >= levels).select("src", "fld", F.lit(1.0).alias("unit"), F.col("v").alias("x"))
-    counts = units.unionByName(sizes).groupBy("src", "fld", "unit", "x").agg(F.count(F.lit(1)).alias("n"))
+    of a tick or more between neighbours within a date; for a size field, of the readings."""
+    by = ["src", "fld", "day", "slice", "unit", "x", "z"]
+    # counts per distinct value, and a row per slice: small whatever the number of readings
+    counted = durable(rows.mapInArrow(_count_pass(levels, fields, others), _COUNTS).groupBy(*by).agg(F.sum("n").alias("n")))
+    step = F.abs(F.col("x") - F.lag("z").over(Window.partitionBy("src", "fld", "day").orderBy("slice")))
+    across = counted.where("n = 0").select("src", "fld", "unit", step.alias("x"))
+    across = across.where((F.col("x") > 0) & (F.col("unit").isNull() | (F.col("x") >= F.col("unit") * (1 - 1e-6))))
+    across = across.select("src", "fld", "unit", F.when(F.col("unit").isNull(), F.col("x")).otherwise(F.round(F.col("x") / F.col("unit"), 3)).alias("x"), F.lit(1).cast("bigint").alias("n"))
+    counts = counted.where("n > 0").select("src", "fld", "unit", "x", "n").unionByName(across).groupBy("src", "fld", "unit", "x").agg(F.sum("n").alias("n"))
     of = Window.partitionBy("src", "fld")
     ranked = counts.withColumns({"upto": F.sum("n").over(of.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(of)})
     low = F.min(F.when(F.col("upto") >= F.floor((F.col("all") + 1) / 2), F.col("x")))
     high = F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, F.col("x")))
-    return ranked.groupBy("src", "fld").agg(((low + high) / 2 * F.first("unit")).alias("usual"))
+    return ranked.groupBy("src", "fld").agg(((low + high) / 2 * F.coalesce(F.first("unit"), F.lit(1.0))).alias("usual"))
 
 
 def flag_readings(
@@ -253,27 +363,32 @@ def flag_readings(
     ticks: DataFrame, stuck: int = 25, jump: float = 12, longest: int = 3, burst: float = 25, slice_seconds: int = 3600,
 ) -> DataFrame:
     """``tbl, seq, field, source, time, value, reason`` of every flagged reading. ``ticks`` has ``src`` and
-    ``tick``, one row per source."""
+    ``tick``, one row per source. What is usual is found while the query is built."""
     fields = [*levels, *sizes]
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    others = [c for n, c in place.items() if n not in (source, time, seq)]  # tell copies, with source and time
     raw = df.toDF(*place.values()).where(F.col(place[source]).isNotNull() & F.col(place[time]).isNotNull())
-    raw = raw.withColumns({"day": F.to_date(place[time]), "slice": clock_slice(F.col(place[time]), slice_seconds)})
-    one = one_of_copies(raw.repartition(place[source], "day", "slice"), place[seq])
-    values = F.array(*[F.struct(F.lit(i).alias("fld"), F.col(place[f]).cast("double").alias("v")) for i, f in enumerate(fields)])
-    readings = one.select(F.col(place[source]).alias("src"), "day", "slice", F.col(place[time]).alias("t"), F.col(place[seq]).alias("s"), F.explode(values).alias("x"))
-    readings = readings.select("src", "day", "slice", "t", "s", "x.fld", "x.v").where("v is not null")
-    usual = usual_values(readings, ticks, len(levels)).groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("fld", "usual"))).alias("usuals"))
-    # what is usual reaches the rows by way of the slices, which are spread evenly, not by the hot source itself
-    known = readings.groupBy("src", "day", "slice").agg(F.lit(1).alias("one")).drop("one").join(usual, "src", "left")
-    judged = readings.join(known, ["src", "day", "slice"], "left").select(
-        *_KEYS, "t", "s", "v", F.coalesce(F.element_at("usuals", F.col("fld")), F.lit(0.0)).alias("usual")
-    )
+    raw = raw.select(
+        F.col(place[source]).alias("src"), F.to_date(place[time]).alias("day"), clock_slice(F.col(place[time]), slice_seconds).alias("slice"), F.col(place[time]).alias("t"), F.col(place[seq]).alias("s"),
+        *[F.col(place[f]).cast("double").alias(f"v{i}") for i, f in enumerate(fields)], *others,
+    )
+
+    def in_slices(rows: DataFrame) -> DataFrame:
+        # nothing is joined after this exchange: a join could split a slice among tasks
+        return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "t", "s")
+
+    of_source = ticks.select(F.col("src").alias("of_src"), F.col("tick").cast("double").alias("tick"))
+    ticked = raw.join(broadcast_if_small(of_source), F.col("src") == F.col("of_src"), "left").withColumn("tick", F.coalesce("tick", F.lit(0.0))).drop("of_src")
+    usual = usual_values(in_slices(ticked), len(levels), len(fields), others)
+    # a row per source, kept so that its size can be checked
+    per_source = durable(usual.groupBy(F.col("src").alias("of_src")).agg(*[F.max(F.when(F.col("fld") == i, F.col("usual"))).alias(f"u{i}") for i in range(len(fields))]))
+    known = raw.join(broadcast_if_small(per_source), F.col("src") == F.col("of_src"), "left").drop("of_src")
+    known = known.withColumns({f"u{i}": F.coalesce(f"u{i}", F.lit(0.0)) for i in range(len(fields))})
     rules = {"jump": jump, "longest": longest, "burst": burst, "stuck": stuck}
-    margin = max(CONTEXT, stuck)
-    first = judged.sortWithinPartitions(*_KEYS, "t", "s").mapInArrow(_first_pass(len(levels), rules, margin), _FIRST)
+    first = in_slices(known).mapInArrow(_flag_pass(len(levels), len(fields), others, rules, max(CONTEXT, stuck)), _EDGE)
     meet = first.withColumn("part", F.when(F.col("edge"), F.lit(-1)).otherwise(F.col("slice")))
     meet = meet.repartition("src", "fld", "day", "part").sortWithinPartitions("src", "fld", "day", "part", "slice", "t", "s")
-    last = meet.mapInArrow(_second_pass(len(levels), rules), _LAST)
+    last = meet.mapInArrow(_seam_pass(len(levels), rules), _LAST)
     name = F.element_at(F.array(*map(F.lit, fields)), F.col("fld") + 1)
     reason = F.element_at(F.array(*map(F.lit, ("impossible", "frozen", "spike"))), F.col("flag"))
     return last.select(F.lit(table).alias("tbl"), F.col("s").alias("seq"), name.alias("field"), F.col("src").alias("source"), F.col("t").alias("time"), F.col("v").alias("value"), reason.alias("reason"))
