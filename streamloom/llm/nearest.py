@@ -53,7 +53,8 @@ def _match(left_cols: Sequence[str], right_cols: Sequence[str], tolerance_us: in
 
         connection = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
 
-        def work(table):
+        def work(table, wait=None):
+            """Matches the left rows; those marked in ``wait`` come later."""
             right = table.column("right").to_numpy(zero_copy_only=False)
             group = np.zeros(table.num_rows, bool)
             for c in ("ent", "bucket"):
@@ -68,6 +69,8 @@ def _match(left_cols: Sequence[str], right_cols: Sequence[str], tolerance_us: in
             null_key = table.column("ent").is_null().to_numpy() | table.column("bucket").is_null().to_numpy()
             copy[1:] |= null_key[1:] & null_key[:-1] & pc.fill_null(pc.equal(same.slice(1), same.slice(0, len(same) - 1)), False).to_numpy(zero_copy_only=False)
             right = right | copy  # a copy takes no part on either side
+            if wait is not None:
+                copy, right = copy | (wait & ~right), right | wait
             ok = table.column("ent").is_valid().to_numpy() & table.column("t").is_valid().to_numpy()
             lefts, rights = np.flatnonzero(~right & ok), np.flatnonzero(right & ok & ~copy)
             at, nearest = np.flatnonzero(~right & ~ok), np.full(int((~right & ~ok).sum()), -1)
@@ -94,7 +97,15 @@ def _match(left_cols: Sequence[str], right_cols: Sequence[str], tolerance_us: in
             last = (table.column("ent")[-1], table.column("bucket")[-1])
             same = pc.and_(pc.equal(table.column("ent"), last[0]), pc.equal(table.column("bucket"), last[1]))
             cut = table.num_rows - int(pc.sum(pc.fill_null(same, False)).as_py() or 0)
-            if cut and last[0].is_valid:
+            if last[0].is_valid and last[1].is_valid and table.num_rows - cut > FLUSH // 2:
+                # a crowded bucket goes in parts: a left row can be matched once a tolerance's worth of later
+                # rows is there, and a right row is needed as long as a left row in reach may come
+                t = table.column("t").cast("int64").to_numpy()
+                is_right, mine = table.column("right").to_numpy(zero_copy_only=False), np.arange(table.num_rows) >= cut
+                horizon = int(t[-1]) - tolerance_us
+                yield from work(table, mine & ~is_right & (t >= horizon))
+                table = table.filter(pa.array(mine & np.where(is_right, t >= horizon - tolerance_us, t >= horizon))).combine_chunks()
+            elif cut and last[0].is_valid:
                 yield from work(table.slice(0, cut).combine_chunks())
                 table = table.slice(cut).combine_chunks()
             elif not last[0].is_valid or not last[1].is_valid:  # such rows need no company but their copies

@@ -55,7 +55,10 @@ def test_small_groups(spark):
     whole, m.FLUSH = m.FLUSH, 10
     try:
         assert run(spark, left, right, bucket_seconds=20) == brute(left, right, 5_000_000)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+        assert run(spark, left, right, bucket_seconds=3600) == brute(left, right, 5_000_000)
     finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         m.FLUSH = whole
 
 
