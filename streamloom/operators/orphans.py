@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.bounds import one_of_copies
-from streamloom.operators.skew import heavy_keys
+from streamloom.operators.skew import SHARE, few_heavy_keys
 
 
 def clean_key(key: Column) -> Column:
@@ -44,7 +44,7 @@ def orphan_rows(children: DataFrame, spans: DataFrame, key: str, time: str, seq:
         F.col("time").isNull() | ((F.col("p_from") <= F.col("time")) & (F.col("p_until").isNull() | (F.col("p_until") > F.col("time"))))
     )
     # a reference to one key may be repeated in a third of all rows: such keys (fewer than 25) meet a broadcast
-    hot = F.broadcast(heavy_keys(rows, "ref_key").select(F.col("hot_key").alias("h_key")))
+    hot = F.broadcast(few_heavy_keys(rows, "ref_key", SHARE, "h_key"))
     few = F.broadcast(spans.join(hot, F.col("p_key") == F.col("h_key"), "left_semi"))
     is_hot = F.col("ref_key") == F.col("h_key")
     missing = pairs.join(hot, is_hot, "left_semi").join(few, alive, "left_anti").unionByName(pairs.join(hot, is_hot, "left_anti").join(spans, alive, "left_anti"))

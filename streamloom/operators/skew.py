@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.bounds import broadcast_if_small
+from streamloom.session import durable
 
 SHARE = 0.04
 
@@ -48,9 +49,14 @@ def heavy_keys(df: DataFrame, key: Column | str, share: float = SHARE) -> DataFr
     )
 
 
+def few_heavy_keys(df: DataFrame, key: str, share: float, name: str) -> DataFrame:
+    """The heavy keys under ``name``, found once and kept by a checkpoint, since several branches use them."""
+    return durable(heavy_keys(df, key, share).select(F.col("hot_key").alias(name)))
+
+
 def split_by_weight(df: DataFrame, key: str, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """The rows of heavy keys and all others (null keys among the others)."""
-    heavy = F.broadcast(heavy_keys(df, key, share).select(F.col("hot_key").alias("__hot")))
+    heavy = F.broadcast(few_heavy_keys(df, key, share, "__hot"))
     same = df[key] == F.col("__hot")
     return df.join(heavy, same, "left_semi"), df.join(heavy, same, "left_anti")
 
@@ -63,7 +69,8 @@ def aggregate_by_key(df: DataFrame, key: str, sums: Mapping[str, Column], share:
     values = [f"__v{i}" for i in range(len(sums))]
     heavy, light = split_by_weight(rows, "__key", share)
     first = [F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(v) for v in values]]
-    parts = heavy.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).groupBy("__key", salt).agg(*first)
+    # the salt follows from the row, so a task that is run again makes the same parts
+    parts = heavy.withColumn(salt, F.pmod(F.xxhash64("__key", *values), F.lit(salts))).groupBy("__key", salt).agg(*first)
     of_heavy = parts.groupBy("__key").agg(F.sum("__n").alias("__n"), *[F.sum(v).alias(v) for v in values])
     both = of_heavy.unionByName(light.groupBy("__key").agg(*first))
     return both.select(F.col("__key").alias(key), F.col("__n").alias("n_rows"), *[F.col(v).alias(n) for v, n in zip(values, sums)])
@@ -73,8 +80,7 @@ def join_by_key(facts: DataFrame, dims: DataFrame, key: str, columns: Sequence[s
     """Left join of ``facts`` with ``columns`` of ``dims`` on ``key``. The dimension rows of heavy keys are
     broadcast (if there are at most ``most`` of them), the rest is joined by shuffle."""
     side = dims.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
-    heavy = heavy_keys(facts, key, share).select(F.col("hot_key").alias("__hot"))
-    few = F.broadcast(heavy)
+    few = F.broadcast(few_heavy_keys(facts, key, share, "__hot"))
     heavy_side = broadcast_if_small(side.join(few, F.col("__key") == F.col("__hot"), "left_semi"), most)
     same = facts[key] == F.col("__hot")
     of_heavy = facts.join(few, same, "left_semi").join(heavy_side, F.col(key) == F.col("__key"), "left")

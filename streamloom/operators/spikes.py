@@ -303,6 +303,7 @@ def _seam_pass(levels: int, rules: dict):
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         names = ["src", "fld", "t", "s", "v"]
         one = ("src", "fld", "day", "part")
@@ -310,14 +311,9 @@ def _seam_pass(levels: int, rules: dict):
         def work(table):
             flag = table.column("flag").to_numpy().copy()
             v, open_ = table.column("v").to_numpy(), table.column("open").to_numpy()
-            edge = table.column("edge").to_numpy()
-            starts = np.flatnonzero((_new_group(table, one) | table.column("gap").to_numpy()) & edge)
-            bounds = [*starts.tolist(), table.num_rows]
+            bounds = [*np.flatnonzero(_new_group(table, one) | table.column("gap").to_numpy()).tolist(), table.num_rows]
             fld, usual = table.column("fld").to_numpy(), table.column("usual").to_numpy(zero_copy_only=False)
-            inner = np.flatnonzero(~edge)
             for a, b in zip(bounds[:-1], bounds[1:]):
-                stop = np.searchsorted(inner, a)
-                b = min(b, int(inner[stop])) if stop < len(inner) else b
                 found = judge(v[a:b], fld[a] < levels, usual[a], **rules)
                 flag[a:b] = np.where(open_[a:b], found, flag[a:b])
             at = np.flatnonzero(flag > 0)
@@ -327,7 +323,12 @@ def _seam_pass(levels: int, rules: dict):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            # what a slice's inside has settled is passed on; only edges wait for their date
+            settled = table.filter(pc.invert(table.column("edge")))
+            if settled.num_rows:
+                yield from settled.select([*names, "flag"]).to_batches()
+            table = table.filter(table.column("edge"))
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
             if not table.num_rows:
                 continue
             last = int(np.flatnonzero(_new_group(table, one))[-1])

@@ -65,7 +65,10 @@ def window(s: Stream, opened: Stream | Column) -> Windowed:
         values = s.df.select(*s.keys, *s.order, F.struct(*s.values).alias("__v"))
         both = values.unionByName(marks, allowMissingColumns=True).groupBy(*s.keys, *s.order)
         both = both.agg(F.first("__v", ignorenulls=True).alias("__v"), F.last("__flag", ignorenulls=True).alias("__flag"))
-        both = prefix(both, s.keys, s.order, {"__state": ("last", F.col("__flag"), True)}, s.slice)
+        born = {"__born": ("max", F.col("__v").isNotNull().cast("int"), True)}
+        both = prefix(both, s.keys, s.order, {"__state": ("last", F.col("__flag"), True), **born}, s.slice)
+        # a key exists from its first value on: windows closed before are none of its own
+        both = both.where("__born = 1") if s.keys else both
         rows = s.with_df(both.select(*s.keys, *s.order, "__v.*", F.col("__state").alias("__flag"), F.col("__v").isNotNull().alias("__on")))
     state = F.coalesce("__flag", F.lit(False))
     rows = rows.with_columns(__open=state).prefix(__was=("last", F.col("__open"), False))

@@ -18,6 +18,7 @@ from streamloom.operators.bind import bind
 from streamloom.operators.buckets import Every, events
 from streamloom.operators.joins import join, sample, take
 from streamloom.operators.windows import toggled
+from streamloom.sources.basic import timer
 from streamloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,6 +355,28 @@ def window_toggled(spark, d):
     return rounded(s.window(flips).reduce(A.Sum("value"), A.Count("n_events")), "sum")
 
 
+@query("""WITH t AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase' AND value > 95), n AS (SELECT count(*) // 2 AS closed FROM t),
+s AS (SELECT e.*, count(t.event_id) OVER (ORDER BY e.ts, e.event_id ROWS UNBOUNDED PRECEDING) AS c FROM events e LEFT JOIN t ON e.event_id = t.event_id),
+born AS (SELECT user_id, arg_min(c, (ts, event_id)) AS c0 FROM s GROUP BY user_id), spine AS (SELECT user_id, c0, unnest(generate_series(1, closed)) AS w FROM born, n),
+k AS (SELECT user_id, w FROM spine WHERE 2 * w > c0)
+SELECT k.user_id, row_number() OVER (PARTITION BY k.user_id ORDER BY k.w) AS window_id, coalesce(round(sum(value), 6), 0) AS sum FROM k LEFT JOIN s ON k.user_id = s.user_id AND s.c = 2 * k.w - 1 GROUP BY k.user_id, k.w""")
+def window_shared_keyed(spark, d):
+    """One toggling window for all keys."""
+    s = all_events(spark, d)
+    flips = toggled(s.filter(purchase() & (F.col("value") > 95)))
+    return rounded(by_user(spark, d).window(flips).reduce(A.Sum("value")), "sum")
+
+
+@query("""SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS seq FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 15 MINUTE)) AS ts)""")
+def timer_grid(spark, d):
+    return timer(spark, "2024-01-01 00:00:00", "2024-01-31 00:00:00", 900).df
+
+
+@query()
+def ewma_reduce(spark, d):
+    return by_user(spark, d).reduce(A.Ewma("value", 0.9))
+
+
 # --- joins -------------------------------------------------------------------------------------------------
 def clicks(spark, d) -> Stream:
     return of_type(spark, d, "click", user_id=F.col("user_id"), click=F.col("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamloom.core import Stream
+from streamloom.session import durable
 
 
 def from_values(spark: SparkSession, values: Iterable[Any], kind: str, time_of: Callable[[Any, int], int] = lambda v, i: i, name: str = "value") -> Stream:
@@ -57,7 +58,9 @@ def random_walk(spark: SparkSession, keys: Sequence[str], n: int, seed: int = 1,
 def with_arrival(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
     """A ``seq`` for a table without one, by two levels: rows are numbered inside range partitions of
     ``order``, and each partition starts where those before it end."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # kept, as partition numbers must be the same in both uses
+    rows = durable(parts.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
     w = Window.partitionBy("__part").orderBy("__row")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
