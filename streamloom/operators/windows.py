@@ -48,26 +48,81 @@ class Windowed:
     all = scan
 
 
-def window(s: Stream, opened: Stream | Column) -> Windowed:
+@dataclass(frozen=True)
+class Shared:
+    """One window for all keys: its edges are numbered once, rows take the number as a latest value, and only
+    what a key must emit without a value (empty windows, opening edges) is made per key from its first
+    window on."""
+
+    stream: Stream  # with __open, __n (number of the window, over all keys)
+    edges: DataFrame  # order columns, __n of every opening edge
+    closed: DataFrame  # one row: __closed, how many windows close
+
+    def _first(self) -> DataFrame:
+        """Per key the number of its first window, ``__from``, and whether the key was born inside it."""
+        s = self.stream
+        born = s.df.groupBy(*s.keys).agg(F.min_by(F.struct("__n", "__open"), F.struct(*s.order)).alias("__b"))
+        return born.select(*s.keys, F.col("__b.__open").alias("__inside"), (F.col("__b.__n") + F.when(F.col("__b.__open"), 0).otherwise(1)).alias("__from"))
+
+    def reduce(self, *aggs: Agg) -> DataFrame:
+        s = self.stream
+        inside = s.df.where("__open").groupBy(*s.keys, "__n").agg(*[a.grouped(s.order).alias(a.name) for a in aggs])
+        spine = self._first().join(F.broadcast(self.closed)).where(F.col("__from") <= F.col("__closed"))  # one row
+        spine = spine.select(*s.keys, "__from", F.explode(F.sequence("__from", "__closed")).alias("__n"))
+        out = spine.join(inside, [*s.keys, "__n"], "left").withColumn(WINDOW, F.col("__n") - F.col("__from") + 1)
+        return out.select(*s.keys, WINDOW, *[a.or_empty(F.col(a.name)).alias(a.name) for a in aggs])
+
+    last = reduce
+
+    def scan(self, *aggs: Agg) -> Stream:
+        s = self.stream
+        last = self.edges.agg(F.max("__n").alias("__last"))  # one row
+        first = self._first()
+        later = first.join(F.broadcast(last)).withColumn("__a", F.col("__from") + F.col("__inside").cast("int")).where(F.col("__a") <= F.col("__last"))
+        marks = later.select(*s.keys, F.explode(F.sequence("__a", "__last")).alias("__n")).join(self.edges, "__n")
+        rows = s.df.where("__open").select(*s.keys, *s.order, "__n", F.struct(*[c for c in s.values if not c.startswith("__")]).alias("__v"))
+        both = rows.unionByName(marks, allowMissingColumns=True).groupBy(*s.keys, *s.order, "__n").agg(F.first("__v", ignorenulls=True).alias("__v"))
+        w = Window.partitionBy(*s.keys, "__n").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+        values = both.select(*s.keys, *s.order, "__n", "__v.*")
+        folded = values.withColumns({a.name: a.or_empty(a.finish(a.running().over(w))) for a in aggs})
+        out = folded.join(first, list(s.keys)).withColumn(WINDOW, F.col("__n") - F.col("__from") + 1)
+        return replace(s, df=out.drop("__n", "__inside", "__from"))
+
+    all = scan
+
+
+def _shared(s: Stream, opened: Stream) -> Shared:
+    (flag,) = opened.values
+    slice_ = opened.slice if s.slice is None else s.slice
+    changes = opened.df.select(*[F.col(c).alias(n) for c, n in zip(opened.order, s.order)], F.coalesce(flag, F.lit(False)).alias("__flag"))
+    was = prefix(changes, (), s.order, {"__was": ("last", F.col("__flag"), False)}, slice_)
+    before = F.coalesce("__was", F.lit(False))
+    marked = was.withColumns({"__edge": (F.col("__flag") & ~before).cast("bigint"), "__close": (~F.col("__flag") & before).cast("bigint")})
+    numbered = prefix(marked, (), s.order, {"__n": ("sum", F.col("__edge"), True)}, slice_)
+    rows = s.df.select(*s.order, F.struct(*s.keys, *s.values).alias("__row"))
+    both = rows.withColumn("__rank", F.lit(1)).unionByName(numbered.select(*s.order, "__flag", F.col("__n").alias("__number"), F.lit(0).alias("__rank")), allowMissingColumns=True)
+    latest = {"__open": ("last", F.col("__flag"), True), "__n": ("last", F.col("__number"), True)}
+    both = prefix(both, (), (*s.order, "__rank"), latest, slice_).where("__rank = 1")
+    out = both.select(*s.order, "__row.*", F.coalesce("__open", F.lit(False)).alias("__open"), F.coalesce("__n", F.lit(0)).cast("bigint").alias("__n"))
+    closed = marked.agg(F.coalesce(F.sum("__close"), F.lit(0)).alias("__closed"))
+    return Shared(s.with_df(out.select(*s.df.columns, "__open", "__n")), numbered.where("__edge = 1").select(*s.order, "__n"), closed)
+
+
+def window(s: Stream, opened: Stream | Column) -> Windowed | Shared:
     """``opened`` is a Boolean column of the stream, or a stream whose only value is a Boolean: per key, or
-    one for all keys."""
+    one for all keys. A key exists from its first value on; windows that closed before are none of its own."""
     if isinstance(opened, Column):
         rows = s.with_columns(__flag=opened, __on=F.lit(True))
+    elif s.keys and not opened.keys:
+        return _shared(s, opened)
     else:
         (flag,) = opened.values
-        if s.keys and not opened.keys:
-            # one window for all keys: its changes are sent to every key, so windows without values exist too
-            changes = opened.df.withColumnRenamed(flag, "__flag").withColumnsRenamed(dict(zip(opened.order, s.order)))
-            marks = s.df.select(*s.keys).distinct().join(changes)
-        else:
-            marks = _fan_out(s, opened, None).withColumnRenamed(flag, "__flag")
-        marks = marks.select(*s.keys, *s.order, "__flag")
+        marks = _fan_out(s, opened, None).withColumnRenamed(flag, "__flag").select(*s.keys, *s.order, "__flag")
         values = s.df.select(*s.keys, *s.order, F.struct(*s.values).alias("__v"))
         both = values.unionByName(marks, allowMissingColumns=True).groupBy(*s.keys, *s.order)
         both = both.agg(F.first("__v", ignorenulls=True).alias("__v"), F.last("__flag", ignorenulls=True).alias("__flag"))
         born = {"__born": ("max", F.col("__v").isNotNull().cast("int"), True)}
         both = prefix(both, s.keys, s.order, {"__state": ("last", F.col("__flag"), True), **born}, s.slice)
-        # a key exists from its first value on: windows closed before are none of its own
         both = both.where("__born = 1") if s.keys else both
         rows = s.with_df(both.select(*s.keys, *s.order, "__v.*", F.col("__state").alias("__flag"), F.col("__v").isNotNull().alias("__on")))
     state = F.coalesce("__flag", F.lit(False))

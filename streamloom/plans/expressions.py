@@ -364,7 +364,8 @@ def window_shared_keyed(spark, d):
     """One toggling window for all keys."""
     s = all_events(spark, d)
     flips = toggled(s.filter(purchase() & (F.col("value") > 95)))
-    return rounded(by_user(spark, d).window(flips).reduce(A.Sum("value")), "sum")
+    keyed_ = Stream(by_user(spark, d).df, s.order, ("user_id",), s.slice)
+    return rounded(keyed_.window(flips).reduce(A.Sum("value")), "sum")
 
 
 @query("""SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS seq FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 15 MINUTE)) AS ts)""")

@@ -25,12 +25,14 @@ def local_session(app: str = "streamloom", cores: int | str = "*", partitions: i
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the folder that the session names in
-    ``spark.checkpoint.dir``. Only where neither the setting nor a folder of the context exists, as in
-    tests on one machine, a folder of our own is set."""
+    ``spark.checkpoint.dir``. Where neither the setting nor a folder of the context exists, one of our own is
+    set: on one machine, as in tests, a temporary folder; on a cluster a folder in the shared warehouse."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
+        if configured is None and not context.master.startswith("local"):
+            configured = df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        elif configured is None:
             import tempfile
 
             configured = tempfile.mkdtemp(prefix="streamloom-checkpoint-")

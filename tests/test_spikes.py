@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 from collections import defaultdict
 from statistics import median
@@ -13,6 +14,7 @@ from streamloom.operators.spikes import flag_readings
 
 SCHEMA = "seq bigint, ticker string, time timestamp_ntz, price double, quantity bigint, slice int, flag string"
 T0 = dt.datetime(2020, 1, 1, 8)
+TABLES = os.environ.get("STREAMLOOM_TABLES", "/root/testdata/sf0.001")
 
 
 def spikes_of(x: list[float], far: float) -> set[int]:
@@ -119,3 +121,17 @@ def test_empty(spark):
     assert flag_readings(spark.createDataFrame([], SCHEMA), **args).count() == 0
     one = [(1, "A", T0, 0.0, 5, 1, "x"), (2, "A", T0, None, None, 1, "x")]
     assert [(r.seq, r.field, r.reason) for r in flag_readings(spark.createDataFrame(one, SCHEMA), **args).collect()] == [(1, "price", "impossible")]
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_query(spark):
+    import duckdb
+
+    from streamloom.plans.problems import flagged
+
+    tick = dict(duckdb.sql(f"SELECT ticker, tick FROM '{TABLES}/instruments.parquet'").fetchall())
+    quotes = duckdb.sql(f"SELECT seq, ticker, time, bid, ask, bidDepth, askDepth FROM '{TABLES}/quotes.parquet'").fetchall()
+    trades = duckdb.sql(f"SELECT seq, ticker, time, price, quantity, board, source, buyer, seller, initiator FROM '{TABLES}/trades.parquet'").fetchall()
+    want = {("quotes", *x) for x in brute(quotes, tick, ("bid", "ask"), (), ("seq", "ticker", "time", "bid", "ask"))} | {("trades", *x) for x in brute(trades, tick)}
+    got = [(r.tbl, r.seq, r.field, r.reason) for r in flagged(spark, TABLES).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

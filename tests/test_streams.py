@@ -127,6 +127,8 @@ def test_window_keyed_and_shared(spark):
     assert text(keyed_, "key", "window_id") == ["abc", "fgh", "012", "567"]
     shared = Stream(spark.createDataFrame([(0, 0, True), (6, 6, False), (10, 10, True), (16, 16, False), (20, 21, True), (21, 22, False)], "ts bigint, seq bigint, open boolean"))
     got = {(r.key, r.window_id): "".join(r.list) for r in s.window(shared).reduce(VALUE).collect()}
+    steps = [(r.key, r.seq, "".join(r.list)) for r in s.window(shared).scan(VALUE).df.where("key = 'Alpha'").orderBy("seq").collect()]
+    assert steps == [("Alpha", 0, "a"), ("Alpha", 2, "ab"), ("Alpha", 4, "abc"), ("Alpha", 10, "f"), ("Alpha", 12, "fg"), ("Alpha", 14, "fgh"), ("Alpha", 21, "")]
     late = Stream(s.df.where("seq >= 7"), s.order, s.keys)
     assert {(r.key, "".join(r.list)) for r in late.window(shared).reduce(VALUE).collect()} == {("Alpha", "fgh"), ("Digit", "567"), ("Alpha", ""), ("Digit", "")}
     assert got[("Alpha", 1)] == "abc" and got[("Digit", 2)] == "567" and got[("Digit", 3)] == ""
