@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from streamloom.llm.contamination import find_leaks, words
 from streamloom.llm.mixing import mix_sources, rake
-from streamloom.llm.splitting import merged, split_oversized
+from streamloom.llm.splitting import merged, split_oversized, split_text
 from streamloom.llm.tokens import DIRECTORY, VOCABULARY, tokenizer
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(os.path.join(DIRECTORY, VOCABULARY)), reason="no vocabulary file")
@@ -114,7 +114,20 @@ def test_long_text_parts():
     tok = tokenizer()
     text = " ".join(f"word{i} and more" for i in range(60_000))
     assert tok.encode(text) == tok.encoding.encode_ordinary(text)
-    assert split_oversized is not None
+    import streamloom.llm.tokens as m
+
+    rng, kept = random.Random(2), m.LONG
+    m.LONG = 5
+    try:
+        small = m.Tokenizer(os.path.join(DIRECTORY, VOCABULARY))
+        for _ in range(300):
+            text = "".join(rng.choice(["a", "bc", "1", ".", " ", "\n", "\t", "      ", "\n\n\n\n\n\n", "\u3000" * 7, "é"]) for _ in range(30))
+            assert small.encode(text) == small.encoding.encode_ordinary(text)
+    finally:
+        m.LONG = kept
+    for text in ("a" + " " * 400_000 + "b", "\n" * 400_000, "漢" * 100_000):
+        pieces = split_text(text, tok, 2000, 100)
+        assert "".join(text[p[1] : p[2]] for p in pieces) == text and max(p[3] for p in pieces) <= 2000
 
 
 # --- mixes ---------------------------------------------------------------------------------------------------
