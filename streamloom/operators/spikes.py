@@ -361,7 +361,7 @@ def usual_values(rows: DataFrame, levels: int, fields: int, others: Sequence[str
 
 def flag_readings(
     df: DataFrame, *, table: str, source: str, time: str, seq: str, levels: Sequence[str] = (), sizes: Sequence[str] = (),
-    ticks: DataFrame, stuck: int = 25, jump: float = 12, longest: int = 3, burst: float = 25, slice_seconds: int = 3600,
+    ticks: DataFrame, stuck: int = 25, jump: float = 12, longest: int = 3, burst: float = 25, slice_seconds: int = 7200,
 ) -> DataFrame:
     """``tbl, seq, field, source, time, value, reason`` of every flagged reading. ``ticks`` has ``src`` and
     ``tick``, one row per source. What is usual is found while the query is built."""
