@@ -44,7 +44,7 @@ def test_leaks_against_all_alignments(spark):
     rng = random.Random(3)
     items = [(i, [rng.choice(WORDS) for _ in range(rng.randrange(25, 90))]) for i in range(12)]
     docs = []
-    for n in range(250):
+    for n in range(120):
         item = rng.choice(items)[1]
         size = rng.choice([20, 28, 29, 30, 31, 34, 40, 60])
         a = rng.randrange(max(1, len(item) - size + 1))
