@@ -125,10 +125,15 @@ def mix_sources(
         total = total_tokens if total_tokens is not None else min(reach, default=0.0)
         margins = [_margin(langs, amounts, language_shares, total), _margin(tops, amounts, topic_shares, total), _margin(sources, amounts, shares, total)]
         weights = rake(amounts, caps, margins)
-        for i, key in enumerate(bins.index):
-            base = int(np.floor(weights[i] / amounts[i] + 1e-9))
+        # what whole documents leave a cell short of or beyond its weight, the source's next larger cell makes up for
+        owed: dict[str, float] = {}
+        for i in sorted(range(len(bins.index)), key=lambda i: (sources[i], amounts[i])):
+            key, due = bins.index[i], weights[i] + owed.get(sources[i], 0.0)
+            want = min(max(due, 0.0), caps[i])
+            base = int(np.floor(want / amounts[i] + 1e-9))
             reached = np.concatenate([[0], np.cumsum(drawn[i])])
-            edge = int(np.abs(reached - (weights[i] - base * amounts[i])).argmin())
+            edge = int(np.abs(reached - (want - base * amounts[i])).argmin())
+            owed[sources[i]] = due - base * amounts[i] - reached[edge]
             uses.append((*key, base, edge / BINS))
     plan = F.broadcast(spark.createDataFrame(uses, "source string, language string, topic string, base int, edge double"))  # one row per cell
     chosen = hashed.join(plan, cell).withColumn("repeats", F.col("base") + (F.col("u") < F.col("edge")).cast("int")).where("repeats > 0")
