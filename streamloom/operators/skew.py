@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.bounds import broadcast_if_small
+from streamloom.bounds import has_at_most
 from streamloom.session import durable
 
 SHARE = 0.04
@@ -76,15 +76,22 @@ def aggregate_by_key(df: DataFrame, key: str, sums: Mapping[str, Column], share:
     return both.select(F.col("__key").alias(key), F.col("__n").alias("n_rows"), *[F.col(v).alias(n) for v, n in zip(values, sums)])
 
 
-def join_by_key(facts: DataFrame, dims: DataFrame, key: str, columns: Sequence[str], share: float = SHARE, most: int = 100_000) -> DataFrame:
+def join_by_key(facts: DataFrame, dims: DataFrame, key: str, columns: Sequence[str], share: float = SHARE, most: int = 100_000, salts: int = 64) -> DataFrame:
     """Left join of ``facts`` with ``columns`` of ``dims`` on ``key``. The dimension rows of heavy keys are
-    broadcast (if there are at most ``most`` of them), the rest is joined by shuffle."""
+    broadcast; beyond ``most`` of them each is repeated for ``salts`` parts of its key's facts instead. The
+    rest is joined by shuffle."""
     side = dims.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     few = F.broadcast(few_heavy_keys(facts, key, share, "__hot"))
-    heavy_side = broadcast_if_small(side.join(few, F.col("__key") == F.col("__hot"), "left_semi"), most)
+    heavy_side = side.join(few, F.col("__key") == F.col("__hot"), "left_semi")
     same = facts[key] == F.col("__hot")
-    of_heavy = facts.join(few, same, "left_semi").join(heavy_side, F.col(key) == F.col("__key"), "left")
-    of_light = facts.join(few, same, "left_anti").join(side, F.col(key) == F.col("__key"), "left")
+    of_heavy, matched = facts.join(few, same, "left_semi"), F.col(key) == F.col("__key")
+    if has_at_most(heavy_side, most):
+        of_heavy = of_heavy.join(F.broadcast(heavy_side), matched, "left")
+    else:
+        salted = of_heavy.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
+        parts = heavy_side.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        of_heavy = salted.join(parts, matched & (F.col("__salt") == F.col("__part")), "left")
+    of_light = facts.join(few, same, "left_anti").join(side, matched, "left")
     out = [*[F.col(c) for c in facts.columns], *[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]]
     return of_heavy.select(*out).unionByName(of_light.select(*out))
 

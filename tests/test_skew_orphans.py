@@ -49,9 +49,10 @@ def test_totals_and_running(spark):
 def test_join(spark):
     rows = fixture(500)
     dims = [("HOT", 1), ("k1", 2), ("k2", 3), (None, 9)]
-    got = join_by_key(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(dims, "k string, w int"), "k", ["w"]).collect()
     look = {k: w for k, w in dims if k}
-    assert sorted((r.seq, r.w or 0) for r in got) == sorted((r[0], look.get(r[2]) or 0) for r in rows)
+    for most in (100_000, 0):  # broadcast or salted
+        got = join_by_key(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(dims, "k string, w int"), "k", ["w"], most=most).collect()
+        assert sorted((r.seq, r.w or 0) for r in got) == sorted((r[0], look.get(r[2]) or 0) for r in rows)
 
 
 PARENTS = "seq bigint, time bigint, orderId string, op string, n int"
