@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.llm.contamination import find_leaks, words
+from streamloom.llm.contamination import bloom_filter, find_leaks, may_contain, word_lists
 from streamloom.llm.mixing import mix_sources, rake
 from streamloom.llm.splitting import merged, split_oversized, split_text
 from streamloom.llm.tokens import DIRECTORY, VOCABULARY, tokenizer
@@ -34,10 +34,45 @@ def leaks(doc: list[str], item: list[str]) -> bool:
 
 
 def test_words():
-    text = "The '''[[Big river|river]]''' &amp; <i>its</i>&nbsp;bank<!-- no --> {{quote|text=GROSSE Straße}}<ref name=\"a\">{{cite book|title=x}}</ref> ca­nal a_b"
-    assert words(text) == ["the", "river", "its", "bank", "quote", "grosse", "strasse", "canal", "a", "b"]
-    assert words(None) == words("") == words(" ?! ") == []
-    assert words("Ähre") == words("ÄHRE")
+    text = "The '''[[Big river|river]]''' &amp; <i>its</i>&nbsp;bank<!-- no --> {{quote|text=GROSSE Straße}}<ref name=\"a\">{{cite book|title=x}}</ref> ca\u00adnal a_b [https://x.org site]"
+    running = ["the", "river", "its", "bank", "canal", "a", "b", "site"]
+    assert word_lists(text, 4) == [running]
+    assert ["quote", "grosse", "strasse"] in word_lists(text) and ["cite", "book", "x"] in word_lists(text)
+    assert word_lists(None) == word_lists("") == word_lists(" ?! ") == []
+    assert word_lists("Ähre") == word_lists("ÄHRE")
+    # what is never closed is running text; nameless parameters are read in place, too
+    assert word_lists("a <ref>b {{c <ref name=x/> d <ref>e</ref> f <!-- g", 2) == [["a", "b", "c", "d", "f", "g"]]
+    assert ["a", "b", "c", "d"] in word_lists("a {{nowrap|b c}} {{cn|date=1}} d") and ["a", "d"] in word_lists("a {{nowrap|b c}} d")
+    for deep in ("{{" * 20_000 + "<ref>" * 20_000, "{{a|" * 3000 + "}}" * 3000, "<!--" * 50_000, "[[a|" * 20_000, "<ref" * 20_000):
+        word_lists(deep + " end")
+
+
+def test_markup_of_any_length(spark):
+    """References, tags and templates of any name and length inside a passage, and passages inside them."""
+    item = [f"p{i}" for i in range(30)]
+    def at(s): return " ".join([*item[:15], s, *item[15:]])  # noqa: E704
+    long = " ".join(f"q{i}" for i in range(1500))
+    docs = [at(f"<ref>{long}</ref>"), at(f"<ref name='{long}'/>"), at(f"<span title='{long}'>"), at("{{refn|" + long + "}}"), at("{{zzz|date=x}}"), at("{{sfn|" + long + "|{{a|b}}}}")]
+    docs += [f"{long} <ref>{' '.join(item)} {long}</ref>", f"<span title='{' '.join(item)}'>", "{{any|x=" + at("<ref>y z</ref>") + "}}", " ".join(item[:14]) + " {{nowrap|" + " ".join(item[14:16]) + "}} " + " ".join(item[16:])]
+    docs += ["{| class=x\n|" + "\n|-\n|".join(item) + "\n|}", "{{unclosed " + at("<ref>"), at("<!-- " + long + " -->")]
+    none = [at(long), " ".join(item[:15]) + "<!-- " + " ".join(item[15:]) + " -->", " ".join(reversed(item))]
+    df = spark.createDataFrame(list(enumerate(docs + none)), "doc_id bigint, text string")
+    got = find_leaks(df, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(docs)))
+
+
+def test_filter(spark):
+    import numpy as np
+
+    from streamloom.llm.contamination import Shape, gram_hashes
+
+    shape, rng = Shape(30, 6), np.random.default_rng(1)
+    words = rng.integers(1, 2**63, (50, shape.width), dtype=np.uint64)
+    table = bloom_filter(spark.createDataFrame([(bytearray(w.tobytes()),) for w in words], "words binary"), shape, 6)
+    mine = np.concatenate([gram_hashes(w[shape.reach : shape.reach + 69], 6) for w in words])
+    others = rng.integers(1, 2**63, 20_000, dtype=np.uint64)
+    assert len(may_contain(table, mine)) == len(mine) == 3200 and len(may_contain(table, others)) < 100
+    assert len(may_contain(np.zeros(4, np.uint64), mine)) == 0
 
 
 def test_leaks_against_all_alignments(spark):
@@ -60,8 +95,8 @@ def test_leaks_against_all_alignments(spark):
     want = {(n, i) for n, d in docs if n < 900 for i, w in items if leaks(d, w)} | {(902, i) for i, w in items if i == 0}
     df = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string")
     its = spark.createDataFrame([(i, " ".join(w), "s") for i, w in items] + [(99, None, "s")], "item_id bigint, text string, doc_id string")
-    for block in (10**6, 100):
-        got = [tuple(r) for r in find_leaks(df, its, block_words=block).collect()]
+    for few in (10**6, 0):  # the items' side sent to the tasks, or split by hot keys
+        got = [tuple(r) for r in find_leaks(df, its, few=few).collect()]
         assert {p for p in got if p[0] != 902 or p[1] == 0} == want and len(got) == len(set(got))
     assert find_leaks(df.limit(0), its).count() == 0 and find_leaks(df, its.limit(0)).count() == 0
 
