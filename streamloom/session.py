@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +25,50 @@ def local_session(app: str = "streamloom", cores: int | str = "*", partitions: i
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder that the session names in
-    ``spark.checkpoint.dir``. Where neither the setting nor a folder of the context exists, one of our own is
-    set: on one machine, as in tests, a temporary folder; on a cluster a folder in the shared warehouse."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
-            configured = df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        elif configured is None:
+_own: dict[str, str] = {}  # folders of our own, by application
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's folder for kept tables, in the shared folder that the session names in
+    ``spark.checkpoint.dir`` or that was set for the context. Without either, in local mode as in tests, a
+    temporary one; on a cluster that is an error, as no folder is known to be shared."""
+    context = spark.sparkContext
+    if context.applicationId not in _own:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if shared is None and context.master.startswith("local["):
             import tempfile
 
-            configured = tempfile.mkdtemp(prefix="streamloom-checkpoint-")
-        context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+            shared = tempfile.mkdtemp(prefix="streamloom-")
+        if shared is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            atexit.register(_at_exit)
+        _own[context.applicationId] = f"{shared.rstrip('/')}/streamloom-{context.applicationId}"
+    return _own[context.applicationId]
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: written once as a table in the shared folder and read from there, so that
+    it is not computed again for each use or after the loss of an executor."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the kept tables of this application. Results that were not written yet can't be used any more."""
+    path = _own.pop(spark.sparkContext.applicationId, None)
+    if path:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
