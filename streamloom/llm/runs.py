@@ -1,21 +1,24 @@
 """Runs of equal or almost equal consecutive events, collapsed into one event each.
 
-1. Within entity, date and slice of the day, canonical values (-0.0 as 0.0, NaN equal to NaN) are
-   compared by row numbers: the number within the slice less the number within slice and value is constant
-   over a run of equal events. All this happens in one hash partitioning by entity, date and slice, so a
-   hot entity is spread over its slices.
-2. The pieces so found, far fewer than the events, get the values of the first piece of their run as their
-   canonical values: a streaming pass looks at neighbouring pieces only. A piece that can't share any run
-   with the one before it (they differ by more than twice the tolerance) starts one whatever came before.
-3. Only the pieces up to the first such break of a slice, and a slice's last run, depend on other slices:
-   they meet in a second pass, one group per entity and date, whose size grows with the slices.
-
 A run is taken from the start of the date onward and as long as possible: every event is within tolerance
-of the run's first event; null equals only null.
+of the run's first event, its anchor; null equals only null.
+
+1. Canonical values. Events are cut by entity, date and slice of the day, so a hot entity is spread over its
+   slices. One pass over each sorted slice gives every event the values of its run's anchor; consecutive
+   events of one anchor leave it as one part with their number (the map side of the later aggregate) and the
+   number of its first event within the slice.
+2. Slices. What a slice's first events belong to depends on the anchor that comes in. It only matters where
+   that anchor first fails, which is one of the few events that go beyond all before them; for each of these
+   the pass follows the runs until they meet, and hands on a summary. The summaries of a date, a few rows a
+   slice however long it is, are chained in order; the parts that belong to other ways are dropped.
+3. Row numbers. The number of an event within its entity less its number within entity and canonical values
+   is constant over a run and differs between runs of equal values. Grouping by it gives count and duration:
+   first within slices, then, over the first and last run of each slice, across them.
 
 Defined cases: an event with a null entity or time stands alone; equal times are ordered by ``seq``; of
 events equal in all columns but ``seq`` only the one with the smallest counts; an entity without a
-tolerance gets 0; an empty table gives an empty result; other columns are kept out, whatever their names.
+tolerance gets 0; -0.0 equals 0.0 and NaN equals NaN; an empty table gives an empty result; other columns
+are kept out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,26 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.bounds import broadcast_if_small, clock_slice
+from streamloom.arrow import changes, stretches
+from streamloom.bounds import broadcast_if_small, clock_slice, one_of_copies
+from streamloom.session import durable
 
 _GROUP = ("ent", "day", "slice")
-
-
-def _changes(table, names: Sequence[str]) -> np.ndarray:
-    """True at every row that differs from the row before in ``names``; the first row is True."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    out = np.zeros(table.num_rows, bool)
-    out[:1] = True
-    for name in names:
-        col = table.column(name)
-        col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-        if len(col) > 1:
-            a, b = col.slice(1), col.slice(0, len(col) - 1)
-            unequal = pc.if_else(pc.and_(pc.is_null(a), pc.is_null(b)), False, pc.fill_null(pc.not_equal(a, b), True))
-            out[1:] |= unequal.to_numpy(zero_copy_only=False)
-    return out
+_SLICE = (*_GROUP, "sub")
+#: A summary row's number of the way on which the anchor that comes in lasts.
+_LASTS = 2**30
 
 
 def _numbers(table, fields: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,180 +50,244 @@ def _numbers(table, fields: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return values, nulls
 
 
-def _pieces(table, fields: Sequence[str]):
-    """Events of one value and one difference of row numbers as one: its first event, the time and ``seq``
-    of its last, and their number."""
-    import pyarrow as pa
-
-    first = np.flatnonzero(_changes(table, [*_GROUP, "step", *fields]))
-    last = np.append(first[1:], table.num_rows) - 1
-    out = table.take(pa.array(first)).drop_columns(["step"]).rename_columns({"t": "t0", "s": "s0"})
-    out = out.append_column("t1", table.column("t").take(pa.array(last))).append_column("s1", table.column("s").take(pa.array(last)))
-    return out.append_column("n", pa.array(last - first + 1)).combine_chunks()
-
-
-def _break(values: np.ndarray, nulls: np.ndarray, tol: np.ndarray, n_abs: int, rel: float) -> np.ndarray:
-    """Whether a row and the one before it can't lie within tolerance of any third, from the second row on."""
-    x, y = values[:-1], values[1:]
-    both = ~(nulls[:-1] | nulls[1:]) & ~(np.isnan(x) & np.isnan(y))
+class Rule:
+    """Who is within tolerance of whom, over rows of values ``x`` and null masks ``u``."""
+
+    def __init__(self, x: np.ndarray, u: np.ndarray, tol: np.ndarray, n_abs: int, rel: float):
+        self.x, self.u, self.tol, self.n_abs, self.rel = x, u, tol, n_abs, rel
+
+    def fits(self, anchor, event) -> np.ndarray:
+        """Whether rows ``event`` belong to runs that rows ``anchor`` start."""
+        return within(self.x[anchor], self.u[anchor], self.x[event], self.u[event], self.tol[event], self.n_abs, self.rel)
+
+    def apart(self, x: np.ndarray, y: np.ndarray, tol: np.ndarray) -> np.ndarray:
+        """Whether values can't both lie within tolerance of any third."""
+        both = ~(np.isnan(x) & np.isnan(y))
+        with np.errstate(invalid="ignore"):
+            most = np.empty(x.shape)
+            most[:, : self.n_abs] = 2 * tol[:, None] * (1 + 1e-6)
+            # |x - y| <= 2 rel |a| where |a| <= min(|x|, |y|) / (1 - rel)
+            most[:, self.n_abs :] = 2 * self.rel / (1 - self.rel) * np.minimum(np.abs(x), np.abs(y))[:, self.n_abs :] * (1 + 1e-9)
+            return both & ~(np.abs(x - y) <= most)
+
+    def breaks(self) -> np.ndarray:
+        """Whether a row and the one before it can't belong to one run, from the second row on."""
+        differ = self.u[1:] != self.u[:-1]
+        return (differ | (~self.u[1:] & self.apart(self.x[:-1], self.x[1:], self.tol[1:]))).any(1)
+
+    def next_anchor(self, anchor: int, end: int) -> int:
+        """The first row after ``anchor`` that does not belong to its run, or ``end``."""
+        at, step = anchor + 1, 8
+        while at < end:
+            stop = min(at + step, end)
+            out = ~self.fits(np.full(stop - at, anchor), np.arange(at, stop))
+            if out.any():
+                return at + int(out.argmax())
+            at, step = stop, min(2 * step, 8192)
+        return end
+
+
+def within(a: np.ndarray, a_null: np.ndarray, b: np.ndarray, b_null: np.ndarray, tol: np.ndarray, n_abs: int, rel: float) -> np.ndarray:
+    """Whether events ``b`` belong to the runs that ``a`` start, row by row."""
     with np.errstate(invalid="ignore"):
-        most = np.empty(x.shape)
-        most[:, :n_abs] = 2 * tol[1:, None] * (1 + 1e-6)
-        # |x - y| <= 2 rel |a| where |a| <= min(|x|, |y|) / (1 - rel)
-        most[:, n_abs:] = 2 * rel / (1 - rel) * np.minimum(np.abs(x), np.abs(y))[:, n_abs:] * (1 + 1e-9)
-        return ((nulls[:-1] != nulls[1:]) | (both & ~(np.abs(x - y) <= most))).any(1)
-
-
-def within(anchor: Sequence, event: Sequence, tol: float, n_abs: int, rel: float) -> bool:
-    """Whether ``event`` belongs to the run that ``anchor`` starts."""
-    for i, (a, b) in enumerate(zip(anchor, event)):
-        if a is None or b is None:
-            if a is not b:
-                return False
-        elif not abs(a - b) <= (tol * (1 + 1e-6) if i < n_abs else rel * abs(a) * (1 + 1e-9)) and (a == a or b == b):
-            return False
-    return True
-
-
-def _local_pass(fields: Sequence[str], n_abs: int, rel: float, least: int):
-    """Numbered events, in order within slices, to runs. ``kind`` 0: a piece before its slice's first
-    certain break; 1: the last run of a slice; 2: a closed run, kept if it has ``least`` events."""
-    names = [*_GROUP, *fields, "tol", "t0", "s0", "t1", "s1", "n"]
+        far = np.abs(a - b)
+        ok = np.empty(far.shape, bool)
+        ok[:, :n_abs] = far[:, :n_abs] <= tol[:, None] * (1 + 1e-6)
+        ok[:, n_abs:] = far[:, n_abs:] <= rel * np.abs(a[:, n_abs:]) * (1 + 1e-9)
+    ok |= np.isnan(a) & np.isnan(b)
+    return np.where(a_null | b_null, a_null & b_null, ok).all(1)
+
+
+def anchors(rule: Rule, broken: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Rows that start a run, in every stretch that begins at a certain break; ``head`` marks the first rows
+    of slices, whose stretch is left out."""
+    n = len(broken)
+    mark = broken & ~head
+    begins = np.flatnonzero(broken)
+    ends = np.append(begins[1:], n)
+    known = ~head[begins] & (ends - begins > 1)
+    anchor, at, end = begins[known], begins[known] + 1, ends[known]
+    for _ in range(8):  # all stretches side by side while there are many
+        if len(at) < 16:
+            break
+        fits = rule.fits(anchor, at)
+        mark[at[~fits]] = True
+        anchor, at = np.where(fits, anchor, at), at + 1
+        more = at < end
+        anchor, at, end = anchor[more], at[more], end[more]
+    for a, i, e in zip(anchor.tolist(), at.tolist(), end.tolist()):
+        fits = rule.fits(np.full(e - i, a), np.arange(i, e)) if e - i <= 8 else None
+        j = rule.next_anchor(a, e) if fits is None else (i + int((~fits).argmax()) if not fits.all() else e)
+        while j < e:
+            mark[j] = True
+            j = rule.next_anchor(j, e)
+    return mark
+
+
+def ways(rule: Rule, first: int, end: int) -> tuple[list[int], bool, dict[int, int], dict[int, int]]:
+    """How the rows of a slice up to its first certain break may be cut, whatever anchor comes in.
+
+    Returns the rows at which that anchor can fail, in order; whether it can last; and for every row that
+    starts a run on some way the next such row and the ways, as bits in the order of the first list."""
+    if end - first == 1:
+        return [first], True, {first: end}, {first: 1}
+    x = rule.x[first:end]
+    high, low = np.fmax.accumulate(x), np.fmin.accumulate(x)
+    record = np.ones(end - first, bool)
+    record[1:] = ((high[1:] > high[:-1]) | (low[1:] < low[:-1])).any(1)
+    at = np.flatnonzero(record)
+    # beyond a row that no anchor of all rows before can reach, none is left
+    dead = (rule.apart(low[at], high[at], rule.tol[first + at]) & ~rule.u[first + at]).any(1)
+    lasts = not dead.any()
+    if not lasts:
+        at = at[: int(dead.argmax()) + 1]
+    starts = (first + at).tolist()
+    after: dict[int, int] = {}
+    on = {row: 1 << i for i, row in enumerate(starts)}
+    waiting = sorted(on)
+    import heapq
+
+    while waiting:
+        row = heapq.heappop(waiting)
+        if row in after:
+            continue
+        after[row] = rule.next_anchor(row, end)
+        if after[row] < end:
+            on[after[row]] = on.get(after[row], 0) | on[row]
+            heapq.heappush(waiting, after[row])
+    return starts, lasts, after, on
+
+
+def _canonical_pass(fields: Sequence[str], others: Sequence[str], n_abs: int, rel: float, least: int, flush: int | None):
+    """Sorted events to parts of runs and summaries of slices (see ``_columns``)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        before = None  # the last row so far, for comparison only
-        head = True  # no certain break yet in the slice of that row
-        anchor = None  # fields of the first row of the open run
-        open_run = None  # its one-row table; t1, s1 and n are up to date
-
-        def rows(table, first, last, count, kind):
-            out = table.select(names[: -3]).take(pa.array(first))
-            out = out.append_column("t1", table.column("t1").take(pa.array(last))).append_column("s1", table.column("s1").take(pa.array(last)))
-            out = out.append_column("n", pa.array(count, pa.int64()))
-            return pa.Table.from_arrays(out.columns, schema=table.schema).append_column("kind", pa.array(kind, pa.int32()))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = _pieces(pa.Table.from_batches([batch]), fields).select(names)
-            table = table.cast(pa.schema([f.with_nullable(True) for f in table.schema]))
-            lead = 0 if before is None else 1
-            if lead:
-                table = pa.concat_tables([before, table]).combine_chunks()
+        for table, groups in stretches(batches, _GROUP, [*fields, *others], flush):
             n = table.num_rows
-            alone = (table.column("ent").is_null().to_numpy()) | (table.column("t0").is_null().to_numpy())
-            group = _changes(table, _GROUP) | alone
-            group[1:] |= alone[:-1]
-            values, nulls = _numbers(table, fields)
-            broken = group.copy()
-            broken[1:] |= _break(values, nulls, table.column("tol").to_numpy(), n_abs, rel)
-            if lead:  # the row before isn't new; what it was is known
-                group[0] = broken[0] = False
-            first_of = np.maximum.accumulate(np.where(group, np.arange(n), 0))
-            breaks = np.cumsum(broken & ~group)
-            at_head = (breaks == breaks[first_of]) & ~alone & ((first_of > 0) | (head if lead else True))
-            mark = np.where(at_head, -1, np.where(broken, 1, 0))
-            if lead:
-                mark[0] = -1 if head else 0
-            follow = np.flatnonzero(mark == 0)
-            follow = follow[follow >= lead]
-            if len(follow):
-                needed = np.unique(np.concatenate([follow - 1, follow]))
-                taken = dict(zip(needed.tolist(), zip(*[table.column(f).take(pa.array(needed)).to_pylist() for f in fields])))
-                tols = table.column("tol").to_numpy()
-                for i in follow.tolist():
-                    if mark[i - 1] == 1:
-                        anchor = taken[i - 1]
-                    if not within(anchor, taken[i], tols[i], n_abs, rel):
-                        mark[i] = 1
-            ends = np.append(np.flatnonzero(mark[lead:] != 0) + lead, n)
-            count = table.column("n").to_numpy()
-            total = np.concatenate([[0], np.cumsum(count)])
-            if open_run is not None:  # lead is 1: the rows up to the first mark belong to it
-                stop = int(ends[0])
-                if stop > 1:
-                    merged = pa.concat_tables([open_run, table.slice(stop - 1, 1)]).combine_chunks()
-                    open_run = rows(merged, [0], [1], [open_run.column("n")[0].as_py() + int(total[stop] - total[1])], [0]).drop_columns(["kind"])
-                if stop < n:
-                    size = open_run.column("n")[0].as_py()
-                    kind = 1 if group[stop] and not open_run.column("ent").is_null()[0].as_py() and not open_run.column("t0").is_null()[0].as_py() else 2
-                    if kind == 1 or size >= least:
-                        yield from rows(open_run, [0], [0], [size], [kind]).to_batches()
-                    open_run = None
-            heads = np.flatnonzero(mark[lead:] == -1) + lead
-            if len(heads):
-                yield from rows(table, heads, heads, count[heads], np.zeros(len(heads), np.int32)).to_batches()
-            starts = np.flatnonzero(mark[lead:] == 1) + lead
-            if len(starts):
-                stops = ends[np.searchsorted(ends, starts, side="right")]
-                sizes = total[stops] - total[starts]
-                if stops[-1] == n:
-                    i = int(starts[-1])
-                    open_run = rows(table, [i], [n - 1], [int(sizes[-1])], [0]).drop_columns(["kind"])
-                    anchor = tuple(open_run.column(f)[0].as_py() for f in fields)
-                    starts, stops, sizes = starts[:-1], stops[:-1], sizes[:-1]
-                kinds = np.where(group[stops] & ~alone[starts], 1, 2) if len(starts) else np.zeros(0, int)
-                keep = (kinds == 1) | (sizes >= least)
-                if keep.any():
-                    yield from rows(table, starts[keep], stops[keep] - 1, sizes[keep], kinds[keep].astype(np.int32)).to_batches()
-            head = bool(mark[-1] == -1)
-            before = table.slice(n - 1, 1)
-        if open_run is not None:
-            lonely = open_run.column("ent").is_null()[0].as_py() or open_run.column("t0").is_null()[0].as_py()
-            yield from rows(open_run, [0], [0], open_run.column("n").to_pylist(), [2 if lonely else 1]).to_batches()
+            begins = np.array([g[0] for g in groups])
+            starts = np.zeros(n, bool)
+            starts[begins] = True
+            event = np.flatnonzero(changes(table, fields) | starts)  # equal events in a row are one row from here
+            bound = np.append(event, n)
+            small = table.select(list(fields)).take(pa.array(event)).combine_chunks()
+            rule = Rule(*_numbers(small, fields), table.column("tol").to_numpy()[event], n_abs, rel)
+            head = starts[event]
+            broken = head.copy()
+            broken[1:] |= rule.breaks()
+            mark = anchors(rule, broken, head)
+            edges = np.flatnonzero(broken)
+            heads = np.flatnonzero(head)
+            parts: list[tuple] = []  # first row, end row, ways, whether its canonical values come in
+            summary: list[tuple] = []  # first row of slice, number of the way, row at which the anchor fails, row of the last anchor
+            for first, stop in zip(heads.tolist(), np.append(heads[1:], len(event)).tolist()):
+                i = int(np.searchsorted(edges, first, side="right"))
+                end = int(edges[i]) if i < len(edges) else len(event)
+                fails, lasts, after, on = ways(rule, first, end)
+                every = (1 << len(fails)) - 1
+                for row, nxt in after.items():
+                    if on[row] == every and not lasts:
+                        mark[row] = True  # all ways have met
+                    else:
+                        parts.append((row, nxt, [i for i in range(len(fails)) if on[row] >> i & 1], False))
+                parts += [(first, row, [i], True) for i, row in enumerate(fails) if row > first]
+                if lasts:
+                    parts.append((first, end, [_LASTS], True))
+                last = int(np.flatnonzero(mark[first:stop])[-1]) + first if end < stop else -1
+                for i, row in enumerate(fails):
+                    while last < 0 and after[row] < end:
+                        row = after[row]
+                    summary.append((first, i, fails[i], last if last >= 0 else row))
+                if lasts:
+                    summary.append((first, _LASTS, -1, last))
+            limits = np.append(np.flatnonzero(mark | head), len(event))
+            sure = np.flatnonzero(mark)
+            until = limits[np.searchsorted(limits, sure, side="right")]
+            slice_of = lambda row: np.searchsorted(begins, event[row], side="right") - 1
+            ends_slice = np.append(head[1:], True)[until - 1]
+            keep = (bound[until] - event[sure] >= least) | ends_slice
+            sure, until = sure[keep], until[keep]
+            first = np.concatenate([sure, np.array([p[0] for p in parts], np.int64)]).astype(np.int64)
+            stop = np.concatenate([until, np.array([p[1] for p in parts], np.int64)]).astype(np.int64)
+            of = slice_of(first)
+            sizes = np.array([g[1] - g[0] for g in groups])
+            subs = np.array([g[2] for g in groups], np.int32)
+            e0, e1 = event[first], bound[stop] - 1
+            m = len(first)
+            coming = np.concatenate([np.zeros(len(sure), bool), np.array([p[3] for p in parts], bool)])
+            out = {c: table.column(c).take(pa.array(e0)) for c in _GROUP}
+            out |= {"sub": pa.array(subs[of]), "kind": pa.array(np.zeros(m, np.int32)), "way": pa.nulls(m, pa.int32())}
+            out["ways"] = pa.array([None] * len(sure) + [p[2] for p in parts], pa.list_(pa.int32()))
+            out |= {"idx": pa.array(e0 - begins[of]), "n": pa.array(e1 - e0 + 1), "total": pa.array(sizes[of])}
+            out |= {a: table.column(c).take(pa.array(x)) for a, c, x in (("t0", "t", e0), ("s0", "s", e0), ("t1", "t", e1), ("s1", "s", e1))}
+            out |= {"tol": pa.nulls(m, pa.float64())} | {c: small.column(c).take(pa.array(first, mask=coming)) for c in fields}
+            out |= {f"e{c}": pa.nulls(m, small.column(c).type) for c in fields} | {"coming": pa.array(coming)}
+            yield from pa.table(out).to_batches()
+            k = len(summary)
+            lead, way, fail, last = (np.array(x, np.int64) for x in zip(*summary))
+            e0, of = event[lead], slice_of(lead)
+            none = {c: pa.nulls(k, out[c].type) for c in ("ways", "idx", "n", "total", "t0", "s0", "t1", "s1")}
+            rows = {c: table.column(c).take(pa.array(e0)) for c in _GROUP}
+            rows |= {"sub": pa.array(subs[of]), "kind": pa.array(np.ones(k, np.int32)), "way": pa.array(way.astype(np.int32)), **none, "tol": pa.array(rule.tol[lead])}
+            rows |= {c: small.column(c).take(pa.array(fail, mask=fail < 0)) for c in fields} | {f"e{c}": small.column(c).take(pa.array(last, mask=last < 0)) for c in fields}
+            # here: whether the anchor that came in is also the one that goes out
+            yield from pa.table(rows | {"coming": pa.array(last < 0)}).to_batches()
 
     return run
 
 
-def _seam_pass(fields: Sequence[str], n_abs: int, rel: float, least: int):
-    """Joins the open runs of an entity and date in order, and passes the closed ones on."""
-    names = ["ent", "day", *fields, "t0", "s0", "t1", "s1", "n"]
+def _chain_pass(fields: Sequence[str], n_abs: int, rel: float):
+    """Summaries in order to the way that each slice takes, and the anchor that comes in."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        current = None
 
+        of, key, anchor, done = None, None, None, False
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            closed = pc.equal(table.column("kind"), 2)
-            yield from table.filter(closed).select(names).to_batches()
-            opened = table.filter(pc.invert(closed))
-            done = []
-            columns = [opened.column(c).to_pylist() for c in names]
-            for kind, tol, row in zip(opened.column("kind").to_pylist(), opened.column("tol").to_pylist(), zip(*columns)):
-                ok = kind == 0 and current is not None and current[:2] == list(row[:2])
-                if ok and within(current[2 : 2 + len(fields)], row[2 : 2 + len(fields)], tol, n_abs, rel):
-                    current[-3:] = [*row[-3:-1], current[-1] + row[-1]]
-                else:
-                    if current is not None:
-                        done.append(current)
-                    current = list(row)
-            done = [x for x in done if x[-1] >= least]
-            if done:
-                schema = pa.schema([table.schema.field(c) for c in names])
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), schema)], schema=schema)
-                held = schema
-            elif current is not None:
-                held = pa.schema([table.schema.field(c) for c in names])
-        if current is not None and current[-1] >= least:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(current, held)], schema=held)
+            if not table.num_rows:
+                continue
+            x, u = _numbers(table, fields)
+            ends = table.select([f"e{c}" for c in fields]).rename_columns(list(fields))
+            ex, eu = _numbers(ends, fields)
+            tol, way, stays = table.column("tol").to_numpy(), table.column("way").to_numpy(), table.column("coming").to_numpy(zero_copy_only=False)
+            found, values, masks = [], [], []
+            for i, (group, name) in enumerate(zip(zip(*[table.column(c).to_pylist() for c in ("ent", "day")]), zip(*[table.column(c).to_pylist() for c in _SLICE]))):
+                if group != of:
+                    of, anchor = group, None
+                if name != key:
+                    key, done = name, False
+                if done:
+                    continue
+                fits = anchor is not None and (way[i] == _LASTS or within(anchor[0], anchor[1], x[i : i + 1], u[i : i + 1], tol[i : i + 1], n_abs, rel)[0])
+                if fits and way[i] != _LASTS:
+                    continue
+                done = True
+                found.append(i)
+                values.append(anchor[0][0] if anchor else np.zeros(len(fields)))
+                masks.append(anchor[1][0] if anchor else np.ones(len(fields), bool))
+                if not stays[i]:
+                    anchor = ex[i : i + 1], eu[i : i + 1]
+            if found:
+                out = table.select([*_SLICE, "way"]).take(pa.array(found))
+                for j, c in enumerate(fields):
+                    out = out.append_column(f"e{c}", pa.array(np.array(values)[:, j], mask=np.array(masks)[:, j]).cast(table.column(c).type, safe=False))
+                yield from out.combine_chunks().to_batches()
 
     return run
 
 
 def collapse_runs(
     df: DataFrame, *, entity: str, time: str, seq: str, absolute: Sequence[str], relative: Sequence[str] = (),
-    tolerance: DataFrame | None = None, rel_tolerance: float = 0.0, least: int = 1, slice_seconds: int = 1800,
+    tolerance: DataFrame | None = None, rel_tolerance: float = 0.0, least: int = 1, slice_seconds: int = 1800, flush: int | None = None,
 ) -> DataFrame:
     """One row per run of at least ``least`` events: ``entity, day, first_seq, last_seq, n_events,
     start_time, end_time, duration_us`` and the fields of its first event.
 
     ``tolerance`` has ``ent`` and ``tol``: by how much the ``absolute`` fields of an entity may differ from
-    the first event's. The ``relative`` fields may differ by ``rel_tolerance`` times the first event's."""
+    the first event's. The ``relative`` fields may differ by ``rel_tolerance`` times the first event's. A
+    slice of more than ``flush`` events is cut further."""
     fields = [*absolute, *relative]
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
     kinds = dict(df.dtypes)
@@ -247,32 +302,53 @@ def collapse_runs(
         F.col(place[entity]).alias("ent"), F.col(place[time]).alias("t"), F.col(place[seq]).alias("s"), *[canonical(c).alias(n) for c, n in zip(fields, names)], *others
     )
     alone = F.col("ent").isNull() | F.col("t").isNull()
-    spread = F.pmod(F.xxhash64(*[c for c in raw.columns if c != "s"]), F.lit(1024)).cast("int")
-    raw = raw.withColumns({"day": F.to_date("t"), "slice": F.when(alone, spread).otherwise(clock_slice(F.col("t"), slice_seconds)), "tol": F.lit(0.0)})
+    placed = raw.where(~alone).withColumns({"day": F.to_date("t"), "slice": clock_slice(F.col("t"), slice_seconds), "tol": F.lit(0.0)})
     if tolerance is not None:
         side = tolerance.select(F.col("ent").alias("of_ent"), F.col("tol").cast("double").alias("of_tol"))
-        raw = raw.join(broadcast_if_small(side), F.col("ent") == F.col("of_ent"), "left").withColumn("tol", F.coalesce("of_tol", "tol")).drop("of_ent", "of_tol")
-    # all that follows up to the first pass happens in this partitioning; nothing is joined in it
-    events = raw.repartition(*_GROUP)
-    alike = Window.partitionBy(*_GROUP, *names, *others).orderBy("t", "s")
-    events = events.withColumn("copy", F.lag("t").over(alike).eqNullSafe(F.col("t")) & (F.row_number().over(alike) > 1)).where("not copy")
-    in_slice = Window.partitionBy(*_GROUP).orderBy("t", "s")
-    of_value = Window.partitionBy(*_GROUP, *names).orderBy("t", "s")
-    # events that stand alone are told apart by their own number
-    step = F.when(alone, F.col("in_slice")).otherwise(F.col("in_slice") - F.col("of_value"))
-    numbered = events.withColumn("of_value", F.row_number().over(of_value)).withColumn("in_slice", F.row_number().over(in_slice))
-    numbered = numbered.select(*_GROUP, *names, "tol", "t", "s", step.alias("step"))
-    types = dict(numbered.dtypes)
-    types |= {"t0": types["t"], "t1": types["t"], "s0": types["s"], "s1": types["s"], "n": "bigint"}
-    runs = [*_GROUP, *names, "tol", "t0", "s0", "t1", "s1", "n"]
-    sizes = (len(absolute), rel_tolerance, least)
-    local = numbered.sortWithinPartitions(*_GROUP, "t", "s").mapInArrow(_local_pass(names, *sizes), ", ".join(f"{c} {types[c]}" for c in runs) + ", kind int")
-    met = local.withColumn("part", F.when(F.col("kind") == 2, F.col("slice")).otherwise(F.lit(-1)))
-    met = met.repartition("ent", "day", "part").sortWithinPartitions("ent", "day", "part", "slice", "t0", "s0")
-    out = ["ent", "day", *names, "t0", "s0", "t1", "s1", "n"]
-    whole = met.mapInArrow(_seam_pass(names, *sizes), ", ".join(f"{c} {types[c]}" for c in out))
+        placed = placed.join(broadcast_if_small(side), F.col("ent") == F.col("of_ent"), "left").withColumn("tol", F.coalesce("of_tol", "tol")).drop("of_ent", "of_tol")
+    # nothing is joined between this exchange and the pass, so no slice can be split
+    events = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "t", "s")
+    types = dict(events.dtypes)
+    columns = {c: types[c] for c in _GROUP} | {"sub": "int", "kind": "int", "way": "int", "ways": "array<int>"} | dict.fromkeys(("idx", "n", "total"), "bigint")
+    columns |= {"t0": types["t"], "s0": types["s"], "t1": types["t"], "s1": types["s"], "tol": "double"}
+    columns |= {c: types[c] for c in names} | {f"e{c}": types[c] for c in names} | {"coming": "boolean"}
+    sizes = (len(absolute), rel_tolerance)
+    passed = events.mapInArrow(_canonical_pass(names, others, *sizes, least, flush), ", ".join(f"{c} {k}" for c, k in columns.items()))
+    local = durable(passed)
+
+    # the way that each slice takes
+    chained = local.where("kind = 1").select(*_SLICE, "way", "tol", "coming", *names, *[f"e{c}" for c in names])
+    chained = chained.repartition("ent", "day").sortWithinPartitions("ent", "day", "slice", "sub", "way")
+    taken = chained.mapInArrow(_chain_pass(names, *sizes), ", ".join(f"{c} {columns[c]}" for c in (*_SLICE, "way", *[f"e{c}" for c in names])))
+    span = ["idx", "n", "total", "t0", "s0", "t1", "s1"]
+    parts = local.where("kind = 0")
+    known = parts.where("ways is null").select(*_SLICE, *names, *span)
+    open_ = parts.where("ways is not null").select(*_SLICE, "ways", "coming", *names, *span).join(taken, [*_SLICE])
+    open_ = open_.where(F.array_contains("ways", F.col("way"))).select(*_SLICE, *[F.when(F.col("coming"), F.col(f"e{c}")).otherwise(F.col(c)).alias(c) for c in names], *span)
+
+    def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], number) -> DataFrame:
+        """Parts grouped by the difference between the number of an event within ``by`` and its number within
+        ``by`` and canonical values: one row per run."""
+        of_value = F.coalesce(F.sum("n").over(Window.partitionBy(*by, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = F.struct(*order)
+        firsts = [F.min_by(c, at).alias(c) for c in ("t0", "s0", "slice", "sub", "idx") if c not in by]
+        lasts = [F.max_by(c, at).alias(c) for c in ("t1", "s1")]
+        return rows.withColumn("difference", number - of_value).groupBy(*by, *names, "difference").agg(F.sum("n").alias("n"), F.max("total").alias("total"), *firsts, *lasts).drop("difference")
+
+    in_slices = numbered(known.unionByName(open_), _SLICE, ["idx"], F.col("idx"))
+    at_edge = (F.col("idx") == 0) | (F.col("idx") + F.col("n") == F.col("total"))
+    # the first and last run of every slice: at most two rows a slice meet here, numbered by the events of all slices before
+    earlier = Window.partitionBy("ent", "day").orderBy("slice", "sub", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("idx") + F.col("n") == F.col("total"), F.col("total"))).over(earlier), F.lit(0))
+    edges = in_slices.where(at_edge).withColumn("number", before + F.col("idx"))
+    across = numbered(edges, ["ent", "day"], ["number"], F.col("number"))
+    rows = ["ent", "day", *names, "t0", "s0", "t1", "s1", "n"]
+    out = in_slices.where(~at_edge).select(*rows).unionByName(across.select(*rows))
+    if least <= 1:
+        lone = one_of_copies(raw.where(alone), "s").select("ent", F.to_date("t").alias("day"), *names, F.col("t").alias("t0"), F.col("s").alias("s0"), F.col("t").alias("t1"), F.col("s").alias("s1"), F.lit(1).cast("bigint").alias("n"))
+        out = out.unionByName(lone)
     micros = F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))
-    return whole.select(
+    return out.where(F.col("n") >= least).select(
         F.col("ent").alias(entity), "day", F.col("s0").alias("first_seq"), F.col("s1").alias("last_seq"), F.col("n").alias("n_events"),
         F.col("t0").alias("start_time"), F.col("t1").alias("end_time"), micros.alias("duration_us"), *[F.col(n).alias(c) for c, n in zip(fields, names)],
     )
