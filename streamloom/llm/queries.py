@@ -25,12 +25,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return quote_runs(spark, d, 2).select("ticker", "first_seq", "last_seq")
 
 
+def told_apart(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN as null with a flag beside it, since NaN equals nothing where rows are compared."""
+    return df.withColumns({f"{c}_nan": F.coalesce(F.isnan(c), F.lit(False)) for c in columns}).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+
+
 def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """Every quote or run of quotes as one, with its number of quotes and its duration."""
-    return quote_runs(spark, d, 1)
+    return told_apart(quote_runs(spark, d, 1), "bid", "ask")
 
 
-def p3_matched(spark: SparkSession, d: str) -> DataFrame:
+def matched(spark: SparkSession, d: str) -> DataFrame:
     """Every trade with the bid and ask of the quote nearest to it, nulls where none is within five seconds."""
     quotes = table(spark, d, "quotes").where("bid is not null and ask is not null")
     return match_nearest(
@@ -39,8 +44,12 @@ def p3_matched(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_matched(spark: SparkSession, d: str) -> DataFrame:
+    return told_apart(matched(spark, d), "left_price", "right_bid", "right_ask")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_matched(spark, d).where("right_seq is not null").select(F.col("left_seq").alias("trade_seq"), F.col("right_seq").alias("quote_seq"))
+    return matched(spark, d).where("right_seq is not null").select(F.col("left_seq").alias("trade_seq"), F.col("right_seq").alias("quote_seq"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +88,40 @@ pairs AS (SELECT t.seq, t.ticker, t.price, epoch_us(t.time) AS tt, b.seq AS bs,
   FROM t ASOF LEFT JOIN q b ON t.ticker = b.ticker AND t.time >= b.time ASOF LEFT JOIN q f ON t.ticker = f.ticker AND t.time <= f.time),
 near AS (SELECT *, CASE WHEN tt - bt <= 5000000 AND (ft IS NULL OR tt - bt <= ft - tt) THEN 'b' WHEN ft - tt <= 5000000 THEN 'f' END AS side FROM pairs) """
 
+
+
+def _nan(c: str) -> str:
+    """Whether a price is NaN. Stored NaNs are told by their text: statistics without NaN would let isnan() be folded away."""
+    return f"(CAST({c} AS VARCHAR) = 'nan')"
+
+
+def _as_number(c: str, name: str) -> str:
+    return f"CASE WHEN {_nan(c)} THEN NULL ELSE {c} + 0.0 END AS {name}, coalesce({_nan(c)}, FALSE) AS {name}_nan"
+
+
+def _alike(new: str, old: str, within: str) -> str:
+    return f"CASE WHEN {new} IS NULL OR {old} IS NULL THEN {new} IS NULL AND {old} IS NULL ELSE abs({new} - {old}) <= {within} END"
+
+
+_PRICE, _DEPTH = "tol * (1 + 1e-6) OR ({0} AND {1})", "CAST(0.02 AS DOUBLE) * abs({1}) * (1 + 1e-9)"
+_ALIKE = " AND ".join(
+    [*[_alike(x, y, _PRICE.format(_nan(x), _nan(y))) for x, y in (("bid", "b"), ("ask", "a"))], *[_alike(x, y, _DEPTH.format(x, y)) for x, y in (("bidDepth", "bd"), ("askDepth", "ad"))]]
+)
+_RUNS = f"""WITH RECURSIVE q AS (SELECT min(seq) AS seq, ticker, time, bid, bidDepth, ask, askDepth FROM quotes GROUP BY ALL),
+n AS (SELECT q.*, CAST(time AS DATE) AS day, coalesce(tick, 0) / 2 AS tol, row_number() OVER (PARTITION BY q.ticker, CAST(time AS DATE) ORDER BY time, seq) AS rn
+  FROM q LEFT JOIN instruments i ON q.ticker = i.ticker WHERE q.ticker IS NOT NULL AND time IS NOT NULL),
+r AS (SELECT ticker, day, rn, seq, time, bid AS b, ask AS a, bidDepth AS bd, askDepth AS ad, rn AS run FROM n WHERE rn = 1
+  UNION ALL SELECT ticker, day, rn, seq, time, CASE WHEN ok THEN b ELSE bid END, CASE WHEN ok THEN a ELSE ask END, CASE WHEN ok THEN bd ELSE bidDepth END, CASE WHEN ok THEN ad ELSE askDepth END, CASE WHEN ok THEN run ELSE rn END
+  FROM (SELECT n.*, r.b, r.a, r.bd, r.ad, r.run, {_ALIKE} AS ok FROM r JOIN n ON n.ticker = r.ticker AND n.day = r.day AND n.rn = r.rn + 1)) """
+
 SQL: dict[str, str] = {
+    "p1_found": _RUNS + "SELECT ticker, arg_min(seq, rn) AS first_seq, arg_max(seq, rn) AS last_seq FROM r GROUP BY ticker, day, run HAVING count(*) >= 2",
+    "p1_collapsed": _RUNS + f"""SELECT ticker, day, first_seq, last_seq, n_events, start_time, end_time, epoch_us(end_time) - epoch_us(start_time) AS duration_us, {_as_number("b", "bid")}, {_as_number("a", "ask")}, bd AS bidDepth, ad AS askDepth
+FROM (SELECT ticker, day, arg_min(seq, rn) AS first_seq, arg_max(seq, rn) AS last_seq, count(*) AS n_events, min(time) AS start_time, max(time) AS end_time,
+  any_value(b) AS b, any_value(a) AS a, any_value(bd) AS bd, any_value(ad) AS ad FROM r GROUP BY ticker, day, run)""",
     "p3_found": _MATCHED + "SELECT seq AS trade_seq, CASE side WHEN 'b' THEN bs ELSE fs END AS quote_seq FROM near WHERE side IS NOT NULL",
-    "p3_matched": _MATCHED + """SELECT seq AS left_seq, ticker AS left_ticker, price AS left_price, CASE side WHEN 'b' THEN bs WHEN 'f' THEN fs END AS right_seq,
-CASE side WHEN 'b' THEN bb WHEN 'f' THEN fb END AS right_bid, CASE side WHEN 'b' THEN ba WHEN 'f' THEN fa END AS right_ask,
-CASE side WHEN 'b' THEN bt - tt WHEN 'f' THEN ft - tt END AS gap_us FROM near""",
+    "p3_matched": _MATCHED + f"""SELECT left_seq, left_ticker, {_as_number("p", "left_price")}, right_seq, {_as_number("xb", "right_bid")}, {_as_number("xa", "right_ask")}, gap_us FROM (
+SELECT seq AS left_seq, ticker AS left_ticker, price AS p, CASE side WHEN 'b' THEN bs WHEN 'f' THEN fs END AS right_seq,
+CASE side WHEN 'b' THEN bb WHEN 'f' THEN fb END AS xb, CASE side WHEN 'b' THEN ba WHEN 'f' THEN fa END AS xa,
+CASE side WHEN 'b' THEN bt - tt WHEN 'f' THEN ft - tt END AS gap_us FROM near)""",
 }

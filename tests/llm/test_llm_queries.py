@@ -20,7 +20,7 @@ def run(spark, name):
     return [tuple(r) for r in entry.queries()[name](spark, TABLES).collect()]
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p3_matched"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_collapsed", "p3_found", "p3_matched"])
 def test_sql(spark, name):
     assert not differences(entry.queries()[name](spark, TABLES), entry.oracle_sql()[name], TABLES)
 
