@@ -8,6 +8,7 @@ import random
 from collections import defaultdict
 from statistics import median
 
+import numpy as np
 import pytest
 
 from streamloom.operators.spikes import flag_readings
@@ -17,14 +18,25 @@ T0 = dt.datetime(2020, 1, 1, 8)
 TABLES = os.environ.get("STREAMLOOM_TABLES", "/root/testdata/sf0.001")
 
 
-def spikes_of(x: list[float], far: float) -> set[int]:
+def stands_off(v: float, side: list[float], usual: float) -> bool:
+    middle = median(side)
+    return abs(v - middle) > min(max(3 * 1.4826 * median(abs(x - middle) for x in side), 3 * usual), 6 * usual)
+
+
+def candidates(x: list[float], usual: float) -> list[bool]:
+    """Off the rolling medians of the seven readings before and of the seven after, over the whole date."""
+    sides = [(x[max(0, i - 7) : i], x[i + 1 : i + 8]) for i in range(len(x))]
+    return [bool(b and a) and stands_off(v, b, usual) and stands_off(v, a, usual) for v, (b, a) in zip(x, sides)]
+
+
+def spikes_of(x: list[float], far: float, candidate: list[bool]) -> set[int]:
     out, sound, i = set(), None, 0
     while i < len(x):
         found = 0
         if sound is not None and abs(x[i] - sound) > far:
             side = 1 if x[i] > sound else -1
             for k in (1, 2, 3):
-                if i + k < len(x) and all((v - sound) * side > far and (v - x[i + k]) * side > far for v in x[i : i + k]):
+                if i + k < len(x) and all(candidate[i : i + k]) and all((v - sound) * side > far and (v - x[i + k]) * side > far for v in x[i : i + k]):
                     found = k
                     break
         if found:
@@ -70,7 +82,8 @@ def brute(rows, tick, levels=("price",), sizes=("quantity",), columns=("seq", "t
         out |= {(s, f, "frozen") for s in frozen}
         good = [(s, v) for s, v in good if s not in frozen]
         if u > 0:
-            far = {i for i, (_, v) in enumerate(good) if v > 25 * u} if f in sizes else spikes_of([v for _, v in good], 12 * u)
+            x = [v for _, v in good]
+            far = {i for i, v in enumerate(x) if v > 25 * u} if f in sizes else spikes_of(x, 12 * u, candidates(x, u))
             out |= {(good[i][0], f, "spike") for i in far if good[i][0] not in frozen}
     return out
 
@@ -100,15 +113,9 @@ def fixture(n: int, seed: int, span: int):
 
 @pytest.mark.parametrize("seed,span,seconds,flush", [(1, 30_000, 3600, None), (2, 200_000, 3600, None), (3, 20_000, 40_000, 300)])
 def test_random(spark, seed, span, seconds, flush):
-    import streamloom.operators.spikes as m
-
     rows = fixture(3000, seed, span)
     ticks = spark.createDataFrame([("A", 0.01), ("B", 0.01)], "src string, tick double")
-    kept, m.FLUSH = m.FLUSH, flush or m.FLUSH
-    try:
-        got = flag_readings(spark.createDataFrame(rows, SCHEMA), table="t", source="ticker", time="time", seq="seq", levels=["price"], sizes=["quantity"], ticks=ticks, slice_seconds=seconds).collect()
-    finally:
-        m.FLUSH = kept
+    got = flag_readings(spark.createDataFrame(rows, SCHEMA), table="t", source="ticker", time="time", seq="seq", levels=["price"], sizes=["quantity"], ticks=ticks, slice_seconds=seconds, flush=flush).collect()
     assert len(got) == len({(r.seq, r.field) for r in got})
     want = brute([r[:5] for r in rows], {"A": 0.01, "B": 0.01})
     assert {(r.seq, r.field, r.reason) for r in got} == want
@@ -135,3 +142,76 @@ def test_query(spark):
     want = {("quotes", *x) for x in brute(quotes, tick, ("bid", "ask"), (), ("seq", "ticker", "time", "bid", "ask"))} | {("trades", *x) for x in brute(trades, tick)}
     got = [(r.tbl, r.seq, r.field, r.reason) for r in flagged(spark, TABLES).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def series(values: list[float], seconds: float = 20.0):
+    return [(i, "A", T0 + dt.timedelta(seconds=seconds * i), v, 10 + i % 3, 1, "x") for i, v in enumerate(values)]
+
+
+def flags(spark, rows, **more):
+    ticks = spark.createDataFrame([("A", 0.01)], "src string, tick double")
+    args = {"table": "t", "source": "ticker", "time": "time", "seq": "seq", "levels": ["price"], "sizes": ["quantity"], "ticks": ticks, "slice_seconds": 300} | more
+    return {(r.seq, r.field, r.reason) for r in flag_readings(spark.createDataFrame(rows, SCHEMA), **args).collect()}
+
+
+def walk(n: int, seed: int) -> list[float]:
+    rng = random.Random(seed)
+    x = [100.0]
+    for _ in range(n - 1):
+        x.append(round(x[-1] + rng.choice([0.01, -0.01, 0]), 2))
+    return x
+
+
+def test_long_to_and_fro(spark):
+    """No calm reading for many slices: the state is that of the whole date."""
+    for seed, period in ((1, 2), (2, 3), (3, 5), (4, 7)):
+        x = walk(900, seed)
+        for i in range(100, 800):
+            x[i] += 5 * (i % period == 0) + 3 * (i % 11 == 0)
+        rows = series(x)
+        assert flags(spark, rows) == brute([r[:5] for r in rows], {"A": 0.01})
+
+
+def test_the_filter_decides(spark, monkeypatch):
+    """A first reading at the level that follows is no spike, by the filter alone; without a filter that finds
+    candidates there are no spikes at all."""
+    import streamloom.operators.spikes as m
+
+    x = [v + (5 if i == 60 or i >= 63 else 0) + (9 if i == 30 else 0) for i, v in enumerate(walk(120, 1))]
+    assert flags(spark, series(x)) == {(30, "price", "spike")}
+    every = lambda v, *_: (np.ones(len(v), bool), np.ones(len(v), bool))
+    usual = np.full(120, 0.01)
+    found, known = m.hampel(np.array(x), usual, 3)
+    assert known.sum() == 106 and set(np.flatnonzero(found)) >= {30} and not found[60]
+    assert set(np.flatnonzero(m.confirmed(np.array(x), every(x)[0], usual, 12, 3))) == {30, 60}
+    assert set(np.flatnonzero(m.confirmed(np.array(x), found, usual, 12, 3))) == {30}
+    assert not m.confirmed(np.array(x), ~every(x)[0], usual, 12, 3).any()
+
+
+def test_rolling():
+    import streamloom.operators.spikes as m
+
+    x = np.random.default_rng(1).normal(size=500)
+    for width in (7, 5):
+        med, mad = m.rolling(x, width)
+        views = np.lib.stride_tricks.sliding_window_view(x, width)
+        assert np.array_equal(med, np.median(views, axis=1)) and np.allclose(mad, np.median(np.abs(views - med[:, None]), axis=1))
+
+
+def test_many_sources_and_no_tick(spark):
+    """Sources beyond what is sent to the tasks; continuous changes without a tick, whose median is selected by ranges."""
+    rng = random.Random(5)
+    rows = [(i, "AB"[i % 2], T0 + dt.timedelta(seconds=i), 50 + rng.gauss(0, 1) + (200 if i % 501 == 77 else 0), rng.randrange(1, 10**6), 1, "x") for i in range(2000)]
+    want = brute([r[:5] for r in rows], {})
+    ticks = spark.createDataFrame([("A", None), ("C", 1.0)], "src string, tick double")
+    for few in (0, 1000):
+        assert flags(spark, rows, few_sources=few, ticks=ticks) == want and want
+
+
+def test_one_exchange(spark):
+    """Both passes read one exchange."""
+    rows = series(walk(50, 1))
+    ticks = spark.createDataFrame([("A", 0.01)], "src string, tick double")
+    df = flag_readings(spark.createDataFrame(rows, SCHEMA), table="t", source="ticker", time="time", seq="seq", levels=["price"], ticks=ticks)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
