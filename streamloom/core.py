@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.functions.aggs import Agg
-from streamloom.order import prefix
+from streamloom.order import prefix, quantile_bounds, slice_of
 
 if TYPE_CHECKING:
     from streamloom.operators.buckets import Grouped
@@ -41,8 +41,22 @@ class Stream:
     def window_spec(self) -> Window:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
+    def sliced(self) -> "Stream":
+        """A stream without keys and slices gets slices from the quantiles of its time."""
+        if self.keys or self.slice is not None:
+            return self
+        bounds = quantile_bounds(self.df, self.order[0])
+        return replace(self, slice=slice_of(self.df, self.order[0], bounds) if bounds else F.lit(0))
+
     def prefix(self, **wanted: tuple[str, Column, bool]) -> "Stream":
-        return self.with_df(prefix(self.df, self.keys, self.order, wanted, self.slice))
+        s = self.sliced()
+        return s.with_df(prefix(s.df, s.keys, s.order, wanted, s.slice))
+
+    def checked(self) -> "Stream":
+        """Fails where two rows have equal keys and order: joins and buckets would take them for one cycle."""
+        w = Window.partitionBy(*self.keys, *self.order)
+        alone = F.when(F.count(F.lit(1)).over(w) > 1, F.raise_error(F.lit("two rows of one key and order"))).otherwise(F.lit(True)).cast("boolean")
+        return self.with_df(self.df.withColumn("__alone", alone).where("__alone").drop("__alone"))
 
     # --- projections and filters -----------------------------------------------------------------------
     def map(self, expose_null: bool = True, **columns: Column) -> "Stream":
@@ -109,9 +123,25 @@ class Stream:
 
     # --- folds -----------------------------------------------------------------------------------------
     def scan(self, *aggs: Agg) -> "Stream":
-        """Running aggregates, a row per event."""
-        w = self.window_spec().rowsBetween(Window.unboundedPreceding, 0)
-        return self.with_df(self.df.withColumns({a.name: a.or_empty(a.finish(a.running().over(w))) for a in aggs}))
+        """Running aggregates, a row per event. With slices (a stream without keys always has some) they are
+        taken inside slices and carried from slice to slice, so no task sees a whole stream or hot key; lists
+        and folds, which grow or depend on each other, need one window or pass per key."""
+        sliced = [a for a in aggs if a.parts and not a.fold and (self.slice is not None or not self.keys)]
+        folded, whole = [a for a in aggs if a.fold], [a for a in aggs if not a.fold and a not in sliced]
+        out = self
+        if sliced:
+            wanted = {f"__{i}_{j}": (kind, c, True) for i, a in enumerate(sliced) for j, (kind, c) in enumerate(a.parts)}
+            made = self.prefix(**wanted)
+            values = {a.name: a.or_empty(a.whole(*[F.col(f"__{i}_{j}") for j in range(len(a.parts))])) for i, a in enumerate(sliced)}
+            out = made.with_df(made.df.withColumns(values).drop(*wanted))
+        if whole:
+            w = self.window_spec().rowsBetween(Window.unboundedPreceding, 0)
+            out = out.with_df(out.df.withColumns({a.name: a.or_empty(a.finish(a.running().over(w))) for a in whole}))
+        for a in folded:
+            from streamloom.functions.folds import scan_fold
+
+            out = out.with_df(scan_fold(out.df, self.keys, self.order, a.fold, a.name, a.kind))
+        return out
 
     fold_all = scan
 
@@ -134,10 +164,10 @@ class Stream:
 
         return group(self, trigger, align)
 
-    def window(self, opened: "Stream | Column") -> "Windowed":
+    def window(self, opened: "Stream | Column", key_map: Callable | None = None) -> "Windowed":
         from streamloom.operators.windows import window
 
-        return window(self, opened)
+        return window(self, opened, key_map)
 
     def join(self, other: "Stream", key_map: Callable | None = None) -> "Stream":
         from streamloom.operators.joins import join

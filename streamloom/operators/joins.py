@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.core import Stream
-from streamloom.order import prefix
+from streamloom.order import numbers, prefix, quantile_bounds, slice_of
 
 KeyMap = Callable[..., Column] | None
 
@@ -58,6 +58,7 @@ def _unpacked(left: Stream, right: Stream, df: DataFrame, condition: Column) ->
 
 
 def _latest(left: Stream, df: DataFrame) -> DataFrame:
+    left = left.sliced()
     return prefix(df, left.keys, left.order, {"__lx": ("last", F.col("__x"), True), "__ly": ("last", F.col("__y"), True)}, left.slice)
 
 
@@ -82,9 +83,16 @@ def sample(stream: Stream, events: Stream) -> Stream:
         marks = Stream(events.df.select(*events.order, F.lit(1).alias("__mark")), events.order, (), events.slice if stream.slice is None else stream.slice)
         out = take(marks, stream)
         return out.with_df(out.df.drop("__mark"))
-    births = stream.df.groupBy(*stream.keys).agg(F.min(stream.order[0]).alias("__born"))
-    spine = births.join(events.df.select(*events.order).withColumnsRenamed(dict(zip(events.order, stream.order))), F.col(stream.order[0]) >= F.col("__born"))
+    # slices of the order make the join of keys and later events one by equal slices: every key goes to the
+    # slices from its birth on, and only in the first of them the order itself is compared
+    marked = events.df.select(*events.order).withColumnsRenamed(dict(zip(events.order, stream.order)))
+    bounds = quantile_bounds(marked, stream.order[0])
+    born = F.min(F.struct(*stream.order))
+    births = stream.df.groupBy(*stream.keys).agg(born.alias("__born"))
+    births = births.withColumn("__time", F.col(f"__born.{stream.order[0]}"))
+    births = numbers(births, slice_of(births, "__time", bounds), F.lit(len(bounds)), "__slice")
+    later = F.struct(*stream.order) >= F.col("__born")
+    spine = marked.withColumn("__slice", slice_of(marked, stream.order[0], bounds).cast("bigint")).join(births, "__slice").where(later)
     marks = Stream(spine.select(*stream.keys, *stream.order, F.lit(1).alias("__mark")), stream.order, stream.keys, stream.slice)
-    out = take(marks, stream)
     seen = _latest(marks, _merged(marks, stream, None)).where("__x is not null and __ly is not null")
-    return out.with_df(seen.select(*stream.keys, *stream.order, *[F.col(f"__ly.{c}").alias(c) for c in stream.values]))
+    return stream.with_df(seen.select(*stream.keys, *stream.order, *[F.col(f"__ly.{c}").alias(c) for c in stream.values]))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from streamloom.bounds import one_of_copies
 from streamloom.operators.skew import SHARE, few_heavy_keys
+from streamloom.session import durable
 
 
 def clean_key(key: Column) -> Column:
@@ -39,6 +40,7 @@ def orphan_rows(children: DataFrame, spans: DataFrame, key: str, time: str, seq:
     """``tbl, seq, time, ref_key`` of every orphan row of one child table (epoch milliseconds in ``time``)."""
     # a column named like one of ours can't clash: rows are packed before anything is added
     rows = one_of_copies(children, seq).select(F.col(seq).alias("seq"), F.col(time).alias("time"), clean_key(F.col(key)).alias("ref_key")).where("ref_key is not null")
+    rows = durable(rows)  # used for hot keys, for pairs and in the join back
     pairs = rows.groupBy("ref_key", "time").agg(F.count(F.lit(1)).alias("n"))
     alive = (F.col("ref_key") == F.col("p_key")) & (
         F.col("time").isNull() | ((F.col("p_from") <= F.col("time")) & (F.col("p_until").isNull() | (F.col("p_until") > F.col("time"))))
@@ -50,7 +52,14 @@ def orphan_rows(children: DataFrame, spans: DataFrame, key: str, time: str, seq:
     missing = pairs.join(hot, is_hot, "left_semi").join(few, alive, "left_anti").unionByName(pairs.join(hot, is_hot, "left_anti").join(spans, alive, "left_anti"))
     missing = missing.select(F.col("ref_key").alias("m_key"), F.col("time").alias("m_time"))
     back = (F.col("ref_key") == F.col("m_key")) & F.col("time").eqNullSafe(F.col("m_time"))
-    return rows.join(missing, back, "left_semi").select(F.lit(table).alias("tbl"), "seq", "time", "ref_key")
+    # a hot key's references of one time, null for one, may be very many: they are joined in parts
+    salts = F.lit(64)
+    is_salted = F.col("__hot").isNotNull()
+    mark = hot.withColumnRenamed("h_key", "__hot")
+    rows = rows.join(mark, F.col("ref_key") == F.col("__hot"), "left").withColumn("__salt", F.when(is_salted, F.pmod("seq", salts)).otherwise(F.lit(0)).cast("int"))
+    missing = missing.join(mark, F.col("m_key") == F.col("__hot"), "left").withColumn("m_salt", F.explode(F.when(is_salted, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
+    back = back & (F.col("__salt") == F.col("m_salt"))
+    return rows.join(missing.drop("__hot"), back, "left_semi").select(F.lit(table).alias("tbl"), "seq", "time", "ref_key")
 
 
 def period_of(time: Column) -> Column:

@@ -89,7 +89,7 @@ def join_by_key(facts: DataFrame, dims: DataFrame, key: str, columns: Sequence[s
         of_heavy = of_heavy.join(F.broadcast(heavy_side), matched, "left")
     else:
         salted = of_heavy.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
-        parts = heavy_side.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        parts = heavy_side.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         of_heavy = salted.join(parts, matched & (F.col("__salt") == F.col("__part")), "left")
     of_light = facts.join(few, same, "left_anti").join(side, matched, "left")
     out = [*[F.col(c) for c in facts.columns], *[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]]

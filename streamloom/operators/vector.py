@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.core import Stream
-from streamloom.order import prefix
+from streamloom.order import numbers
 
 
 def entries(s: Stream) -> DataFrame:
@@ -58,25 +58,71 @@ def map_vector_sum(s: Stream, name: str = "total", **columns: Column) -> Stream:
     valued = s.df.withColumn("__v", value.cast("double"))
     deltas = valued.withColumn("__d", F.coalesce("__v", F.lit(0.0)) - F.coalesce(F.lag("__v").over(s.window_spec()), F.lit(0.0)))
     cycles = deltas.groupBy(*s.order).agg(F.sum("__d").alias("__d"))
-    out = prefix(cycles, (), s.order, {name: ("sum", F.col("__d"), True)}, s.slice)
-    return Stream(out.select(*s.order, name), s.order, (), s.slice)
+    out = Stream(cycles, s.order, (), s.slice).prefix(**{name: ("sum", F.col("__d"), True)})
+    return out.with_df(out.df.select(*s.order, name))
 
 
 def key_count(s: Stream, name: str = "n_keys") -> Stream:
     """Number of keys so far, at every cycle."""
     first = F.when(F.row_number().over(s.window_spec()) == 1, 1).otherwise(0)
     cycles = s.df.withColumn("__new", first).groupBy(*s.order).agg(F.sum("__new").alias("__new"))
-    out = prefix(cycles, (), s.order, {name: ("sum", F.col("__new"), True)}, s.slice)
-    return Stream(out.select(*s.order, name), s.order, (), s.slice)
+    out = Stream(cycles, s.order, (), s.slice).prefix(**{name: ("sum", F.col("__new"), True)})
+    return out.with_df(out.df.select(*s.order, name))
 
 
 def snapshot(s: Stream, value: str, keys: Sequence[object]) -> Stream:
-    """At every cycle, the latest values of a stated, bounded list of keys, one column per key: the general
-    form for any function over all values."""
-    if len(keys) > 1000:
-        raise ValueError("a snapshot is for a bounded set of keys")
+    """At every cycle, the latest values of a stated list of keys, one column per key. For key sets that
+    aren't stated or are too many for columns there are ``map_vector`` and, as rows, ``joins.sample``."""
     (key,) = s.keys
     named = {str(k): F.max(F.when(F.col(key) == F.lit(k), F.col(value))) for k in keys}
     cycles = s.df.groupBy(*s.order).agg(*[c.alias(f"__{n}") for n, c in named.items()])
-    out = prefix(cycles, (), s.order, {n: ("last", F.col(f"__{n}"), True) for n in named}, s.slice)
-    return Stream(out.select(*s.order, *[F.col(f"`{n}`") for n in named]), s.order, (), s.slice)
+    out = Stream(cycles, s.order, (), s.slice).prefix(**{n: ("last", F.col(f"__{n}"), True) for n in named})
+    return out.with_df(out.df.select(*s.order, *[F.col(f"`{n}`") for n in named]))
+
+
+def map_vector(s: Stream, value: str, f: Callable[[dict], object], name: str, kind: str) -> Stream:
+    """At every cycle with a change, any function of all keys' latest values, given as a dict from key to
+    value. Slices of the order are worked on side by side: each begins with the values of all keys as they
+    stood before it, which makes (keys x slices) rows beside the events."""
+    (key,) = s.keys
+    # keys are looked at together, so the slices are those of the stream without them
+    cut = replace(s, keys=()).sliced()
+    rows = _ranked(replace(s, slice=cut.slice), key, value)
+    last = rows.groupBy(key, "__slice").agg(F.max_by("__v", F.struct(*s.order)).alias("__v"))
+    until = rows.agg(F.max("__slice").alias("__last"))  # one row
+    ends = last.withColumn("__next", F.lead("__slice").over(Window.partitionBy(key).orderBy("__slice"))).join(F.broadcast(until))
+    carried = numbers(ends, F.col("__slice") + 1, F.coalesce("__next", "__last"), "__to").select(key, F.col("__to").alias("__slice"), "__v")
+    state = carried.withColumn("__event", F.lit(False))
+    both = rows.withColumn("__event", F.lit(True)).unionByName(state, allowMissingColumns=True)
+    order = list(s.order)
+
+    def run(frames):
+        import pandas as pd
+
+        at, latest, cycle, shown = None, {}, None, None
+        for pdf in frames:
+            out = []
+            for part, event, k, v, *o in pdf[["__slice", "__event", key, "__v", *order]].itertuples(index=False, name=None):
+                if cycle is not None and (part != at or o != cycle):
+                    out.append((*cycle, f(latest)))
+                    cycle = None
+                if part != at:
+                    at, latest = part, {}
+                latest[k] = v
+                cycle = o if event else None
+            if out:
+                yield pd.DataFrame(out, columns=[*order, name])
+        if cycle is not None:
+            yield pd.DataFrame([(*cycle, f(latest))], columns=[*order, name])
+
+    kinds = dict(s.df.dtypes)
+    sorted_ = both.repartition("__slice").sortWithinPartitions("__slice", "__event", *order)
+    made = sorted_.mapInPandas(run, ", ".join(f"{o} {kinds[o]}" for o in order) + f", {name} {kind}")
+    return Stream(made, s.order, (), s.slice)
+
+
+def _ranked(s: Stream, key: str, value: str) -> DataFrame:
+    """Rows with the number of their slice: slices are few, so they are numbered in one small window."""
+    rows = s.df.withColumn("__cut", s.slice).select(key, *s.order, F.col(value).alias("__v"), "__cut")
+    ranks = rows.select("__cut").distinct().withColumn("__slice", F.row_number().over(Window.orderBy("__cut")).cast("bigint"))
+    return rows.join(ranks, "__cut").drop("__cut")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from streamloom.core import Stream
 from streamloom.functions.aggs import Agg
-from streamloom.operators.joins import _fan_out
-from streamloom.order import prefix
+from streamloom.operators.joins import KeyMap, _fan_out
+from streamloom.order import numbers, prefix
 
 WINDOW = "window_id"
 
@@ -68,7 +68,7 @@ class Shared:
         s = self.stream
         inside = s.df.where("__open").groupBy(*s.keys, "__n").agg(*[a.grouped(s.order).alias(a.name) for a in aggs])
         spine = self._first().join(F.broadcast(self.closed)).where(F.col("__from") <= F.col("__closed"))  # one row
-        spine = spine.select(*s.keys, "__from", F.explode(F.sequence("__from", "__closed")).alias("__n"))
+        spine = numbers(spine, F.col("__from"), F.col("__closed"), "__n").select(*s.keys, "__from", "__n")
         out = spine.join(inside, [*s.keys, "__n"], "left").withColumn(WINDOW, F.col("__n") - F.col("__from") + 1)
         return out.select(*s.keys, WINDOW, *[a.or_empty(F.col(a.name)).alias(a.name) for a in aggs])
 
@@ -79,7 +79,7 @@ class Shared:
         last = self.edges.agg(F.max("__n").alias("__last"))  # one row
         first = self._first()
         later = first.join(F.broadcast(last)).withColumn("__a", F.col("__from") + F.col("__inside").cast("int")).where(F.col("__a") <= F.col("__last"))
-        marks = later.select(*s.keys, F.explode(F.sequence("__a", "__last")).alias("__n")).join(self.edges, "__n")
+        marks = numbers(later, F.col("__a"), F.col("__last"), "__n").select(*s.keys, "__n").join(self.edges, "__n")
         rows = s.df.where("__open").select(*s.keys, *s.order, "__n", F.struct(*[c for c in s.values if not c.startswith("__")]).alias("__v"))
         both = rows.unionByName(marks, allowMissingColumns=True).groupBy(*s.keys, *s.order, "__n").agg(F.first("__v", ignorenulls=True).alias("__v"))
         w = Window.partitionBy(*s.keys, "__n").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
@@ -93,7 +93,7 @@ class Shared:
 
 def _shared(s: Stream, opened: Stream) -> Shared:
     (flag,) = opened.values
-    slice_ = opened.slice if s.slice is None else s.slice
+    slice_ = (opened.slice if s.slice is None else s.slice) if (opened.slice if s.slice is None else s.slice) is not None else replace(s, keys=()).sliced().slice
     changes = opened.df.select(*[F.col(c).alias(n) for c, n in zip(opened.order, s.order)], F.coalesce(flag, F.lit(False)).alias("__flag"))
     was = prefix(changes, (), s.order, {"__was": ("last", F.col("__flag"), False)}, slice_)
     before = F.coalesce("__was", F.lit(False))
@@ -108,20 +108,21 @@ def _shared(s: Stream, opened: Stream) -> Shared:
     return Shared(s.with_df(out.select(*s.df.columns, "__open", "__n")), numbered.where("__edge = 1").select(*s.order, "__n"), closed)
 
 
-def window(s: Stream, opened: Stream | Column) -> Windowed | Shared:
+def window(s: Stream, opened: Stream | Column, key_map: KeyMap = None) -> Windowed | Shared:
     """``opened`` is a Boolean column of the stream, or a stream whose only value is a Boolean: per key, or
-    one for all keys. A key exists from its first value on; windows that closed before are none of its own."""
+    one for all keys; ``key_map`` tells which key of ``opened`` belongs to each key of ``s``. A key exists from its first value on; windows that closed before are none of its own."""
     if isinstance(opened, Column):
         rows = s.with_columns(__flag=opened, __on=F.lit(True))
     elif s.keys and not opened.keys:
         return _shared(s, opened)
     else:
         (flag,) = opened.values
-        marks = _fan_out(s, opened, None).withColumnRenamed(flag, "__flag").select(*s.keys, *s.order, "__flag")
+        marks = _fan_out(s, opened, key_map).withColumnRenamed(flag, "__flag").select(*s.keys, *s.order, "__flag")
         values = s.df.select(*s.keys, *s.order, F.struct(*s.values).alias("__v"))
         both = values.unionByName(marks, allowMissingColumns=True).groupBy(*s.keys, *s.order)
         both = both.agg(F.first("__v", ignorenulls=True).alias("__v"), F.last("__flag", ignorenulls=True).alias("__flag"))
         born = {"__born": ("max", F.col("__v").isNotNull().cast("int"), True)}
+        s = s.sliced()
         both = prefix(both, s.keys, s.order, {"__state": ("last", F.col("__flag"), True), **born}, s.slice)
         both = both.where("__born = 1") if s.keys else both
         rows = s.with_df(both.select(*s.keys, *s.order, "__v.*", F.col("__state").alias("__flag"), F.col("__v").isNotNull().alias("__on")))

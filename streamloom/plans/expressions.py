@@ -18,7 +18,9 @@ from streamloom.operators.bind import bind
 from streamloom.operators.buckets import Every, events
 from streamloom.operators.joins import join, sample, take
 from streamloom.operators.windows import toggled
-from streamloom.sources.basic import timer
+from streamloom.order import merge_sources
+from streamloom.sinks import series
+from streamloom.sources.basic import as_vector, lazy_vector, timer
 from streamloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,15 +202,20 @@ def keyed_reduce(spark, d):
     return rounded(out, "sum").withColumns({"list": F.array_join("list", ","), "set": F.array_join("set", ",")})
 
 
-@query()
+_FOLD = "list_reduce(list_prepend(CAST(0.0 AS DOUBLE), {values}), lambda s, x: {step})"
+_POWERS = "pow(x, CAST(1 - 0.98 AS DOUBLE)) + pow(s, CAST(0.98 AS DOUBLE))"
+
+
+@query(f"SELECT user_id, ts, event_id, value, round({_FOLD.format(values=f'list(value) OVER {W_USER}', step=_POWERS)}, 9) AS ewma FROM events")
 def ewma_ref(spark, d):
     s = by_user(spark, d)
-    return scan_fold(s.df.select("user_id", "ts", "event_id", "value"), s.keys, s.order, lambda: EwmaRefFold("value"), "ewma", "double")
+    out = scan_fold(s.df.select("user_id", "ts", "event_id", "value"), s.keys, s.order, lambda: EwmaRefFold("value"), "ewma", "double")
+    return out.withColumn("ewma", F.round("ewma", 9))
 
 
-@query()
+@query(f"SELECT user_id, round({_FOLD.format(values='list(value ORDER BY ts, event_id)', step=_POWERS)}, 9) AS ewma, count(*) AS n FROM events GROUP BY user_id")
 def ewma_ref_reduce(spark, d):
-    return by_user(spark, d).reduce(A.EwmaRef("value", name="ewma"), A.Count())
+    return by_user(spark, d).reduce(A.EwmaRef("value", name="ewma"), A.Count()).withColumn("ewma", F.round("ewma", 9))
 
 
 @query("""WITH c AS (SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS b, count(*) AS n FROM events GROUP BY ALL)
@@ -373,9 +380,15 @@ def timer_grid(spark, d):
     return timer(spark, "2024-01-01 00:00:00", "2024-01-31 00:00:00", 900).df
 
 
-@query()
+@query(f"SELECT user_id, round({_FOLD.format(values='list(value ORDER BY ts, event_id)', step='x * CAST(0.1 AS DOUBLE) + s * CAST(0.9 AS DOUBLE)')}, 9) AS ewma FROM events GROUP BY user_id")
 def ewma_reduce(spark, d):
-    return by_user(spark, d).reduce(A.Ewma("value", 0.9))
+    return by_user(spark, d).reduce(A.Ewma("value", 0.9)).withColumn("ewma", F.round("ewma", 9))
+
+
+@query(f"SELECT user_id, ts, event_id, round({_FOLD.format(values=f'list(value) OVER {W_USER}', step='x * CAST(0.1 AS DOUBLE) + s * CAST(0.9 AS DOUBLE)')}, 9) AS ewma FROM events")
+def ewma_scan(spark, d):
+    out = by_user(spark, d).map(value=F.col("value")).scan(A.Ewma("value", 0.9)).df
+    return out.select("user_id", "ts", "event_id", F.round("ewma", 9).alias("ewma"))
 
 
 # --- joins -------------------------------------------------------------------------------------------------
@@ -460,3 +473,167 @@ def bind_multi_input(spark, d):
         A.First("click", "first_click"), A.Last("purchase", "last_purchase"), A.CountIf(F.col("click").isNotNull(), "n_clicks"),
         A.CountIf(F.col("click").isNotNull() & F.col("purchase").isNotNull(), "n_both"),
     )
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+b AS (SELECT *, (rn - 1) // 5 AS bucket FROM x), spine AS (SELECT user_id, unnest(generate_series(0, count(*) // 5)) AS bucket FROM b GROUP BY user_id)
+SELECT user_id, bucket, count(event_id) AS n_x, count(*) FILTER (value > 50) AS n_y, count(*) FILTER (value > 50) AS n_both, arg_max(value, (ts, event_id)) AS last_x, arg_max(value, (ts, event_id)) FILTER (value > 50) AS last_y
+FROM spine LEFT JOIN b USING (user_id, bucket) GROUP BY ALL""")
+def bind_same_cycle(spark, d):
+    """Two inputs of one cycle, a stream and what is filtered from it, are in a bucket together before its value is taken."""
+    s = by_user(spark, d)
+    x, y = s.map(x=F.col("value")), s.filter(F.col("value") > 50).map(y=F.col("value"))
+    return bind(x, y).group(events(5)).reduce(
+        A.CountIf(F.col("x").isNotNull(), "n_x"), A.CountIf(F.col("y").isNotNull(), "n_y"), A.CountIf(F.col("x").isNotNull() & F.col("y").isNotNull(), "n_both"), A.Last("x", "last_x"), A.Last("y", "last_y")
+    )
+
+
+class Balance:
+    """Clicks less purchases, each counted by the input that it comes from; a bucket's value is fixed when it closes."""
+
+    def __init__(self):
+        self.total, self.result, self.steps = 0, None, 0
+
+    def add(self, tag, row):
+        self.total += 1 if tag == "click" else -1
+        self.steps += 1
+
+    def close(self):
+        self.result = 1000 * self.steps + self.total
+
+    def value(self):
+        return self.result
+
+
+@query("""WITH b AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS bucket FROM events WHERE event_type IN ('click', 'purchase')),
+spine AS (SELECT user_id, unnest(generate_series(0, count(*) // 4)) AS bucket FROM b GROUP BY user_id)
+SELECT user_id, bucket, 1000 * count(event_id) + count(*) FILTER (event_type = 'click') - count(*) FILTER (event_type = 'purchase') AS balance FROM spine LEFT JOIN b USING (user_id, bucket) GROUP BY ALL""")
+def collapse_tagged(spark, d):
+    """Two inputs added to an object per bucket by adders of their own."""
+    x, y = (s.by(user_id=F.col("user_id")) for s in (clicks(spark, d), purchases(spark, d)))
+    return bind(x, y).group(events(4)).collapse(Balance, "balance", "bigint", tags={"click": "click", "purchase": "purchase"})
+
+
+# --- sliced running values, empty slices, keys that choose ------------------------------------------------------
+@query(f"""SELECT ts, event_id, count(*) OVER w AS n, round(avg(value) OVER w, 9) AS avg, min(value) OVER w AS lo, max(value) OVER w AS hi, first_value(value) OVER w AS first, last_value(value) OVER w AS last,
+array_to_string(list_sort(list_distinct(list(event_type) OVER w)), ',') AS seen, round(sum(value * event_id) OVER w / nullif(sum(event_id) OVER w, 0), 6) AS vwap, bool_or(value > 99) OVER w AS any
+FROM events WINDOW w AS {W_ALL}""")
+def scan_stats(spark, d):
+    """Running values of one stream without slices of its own: they come from the quantiles of its time."""
+    s = stream(table(spark, d, "events"), "ts", "event_id", "event_type", "value").with_columns(id=F.col("event_id"))
+    out = s.scan(A.Count(), A.Avg("value"), A.Min("value", "lo"), A.Max("value", "hi"), A.First("value"), A.Last("value"), A.SetOf("event_type", "seen"), A.Vwap("value", "id"), A.AnyTrue(F.col("value") > 99))
+    return out.df.select("ts", "event_id", "n", F.round("avg", 9).alias("avg"), "lo", "hi", "first", "last", F.array_join("seen", ",").alias("seen"), F.round("vwap", 6).alias("vwap"), "any")
+
+
+@query("SELECT event_type, ts, event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS sum FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def scan_hot_keys(spark, d):
+    """Few keys with many rows each, cut into hours."""
+    s = keyed(table(spark, d, "events"), ["event_type"], "ts", "event_id", "value", slice=F.date_trunc("hour", "ts"))
+    return rounded(s.scan(A.Count(), A.Sum("value")).df, "sum").select("event_type", "ts", "event_id", "n", "sum")
+
+
+@query("""WITH t AS (SELECT ts, event_id, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase'),
+x AS (SELECT e.ts, e.event_id, e.value, e.event_type, count(*) FILTER (event_type = 'purchase') OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bucket FROM events e),
+v AS (SELECT * FROM x WHERE event_type = 'error')
+SELECT ts, event_id, bucket, count(*) OVER (PARTITION BY bucket ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM v
+UNION ALL SELECT ts, event_id, k - 1, 0 FROM t WHERE k - 1 NOT IN (SELECT bucket FROM v)""")
+def group_scan_empty(spark, d):
+    """Running counts in slices cut by another stream; a slice without events shows its empty value when it ends."""
+    s = all_events(spark, d)
+    return s.filter_type("event_type", "error").group(s.filter(purchase())).scan(A.Count()).df.select("ts", "event_id", "bucket", "n")
+
+
+@query("""WITH t AS (SELECT ts, event_id, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase'),
+x AS (SELECT e.*, count(*) FILTER (event_type = 'purchase') OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bucket FROM events e),
+v AS (SELECT * FROM x WHERE event_type = 'error'), e AS (SELECT ts, event_id, k - 1 AS bucket FROM t WHERE k - 1 NOT IN (SELECT bucket FROM v))
+SELECT ts, event_id, bucket, value FROM v UNION ALL SELECT e.ts, e.event_id, e.bucket, v.value FROM e ASOF LEFT JOIN v ON e.ts >= v.ts""")
+def group_all(spark, d):
+    """The latest values in slices; an empty slice shows the one before."""
+    s = all_events(spark, d)
+    return s.filter_type("event_type", "error").map(value=F.col("value")).group(s.filter(purchase())).all().df.select("ts", "event_id", "bucket", "value")
+
+
+@query("""WITH b AS (SELECT *, CAST(count(*) FILTER (event_type = 'purchase') OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bucket FROM events),
+spine AS (SELECT unnest(generate_series(0, count(*))) AS bucket FROM events WHERE event_type = 'purchase')
+SELECT bucket, coalesce(round(sum(value) FILTER (event_type <> 'purchase'), 6), 0) AS sum FROM spine LEFT JOIN b USING (bucket) GROUP BY ALL""")
+def group_stream_trigger(spark, d):
+    """A single stream cut by another single stream."""
+    s = stream(table(spark, d, "events"), "ts", "event_id", "event_type", "value")
+    return rounded(s.filter(~purchase()).group(s.filter(purchase())).reduce(A.Sum("value")), "sum")
+
+
+@query(_N.format(bucket="(rn - 1) // 3", first="0") + "SELECT user_id, bucket, coalesce(round(sum(value * (1 + user_id % 3)), 6), 0) AS sum, count(value) FILTER (value > user_id) AS n FROM spine LEFT JOIN b USING (user_id, bucket) GROUP BY ALL")
+def reduce_by_key(spark, d):
+    """Aggregates that depend on the key."""
+    make = lambda k: [A.Sum(F.col("value") * (1 + k % 3)), A.CountIf(F.col("value") > k)]
+    return rounded(by_user(spark, d).group(events(3)).reduce_k(make), "sum")
+
+
+@query(_N.format(bucket="(rn - 1) // 3", first="0") + "SELECT user_id, ts, event_id, bucket, round(sum(value * (1 + user_id % 3)) OVER (PARTITION BY user_id, bucket ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS sum FROM b")
+def scan_by_key(spark, d):
+    out = by_user(spark, d).group(events(3)).scan_k(lambda k: [A.Sum(F.col("value") * (1 + k % 3))]).df
+    return rounded(out, "sum").select("user_id", "ts", "event_id", "bucket", "sum")
+
+
+@query("""WITH t AS (SELECT user_id % 10 AS g, ts, event_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase'),
+m AS (SELECT u.user_id, t.ts, t.event_id, t.k FROM (SELECT DISTINCT user_id FROM events) u JOIN t ON t.g = u.user_id % 10),
+a AS (SELECT e.user_id, e.ts, e.event_id, e.value, m.k FROM events e LEFT JOIN m ON e.user_id = m.user_id AND e.event_id = m.event_id UNION ALL SELECT m.user_id, m.ts, m.event_id, NULL, m.k FROM m WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = m.user_id AND e.event_id = m.event_id)),
+s AS (SELECT *, coalesce(max(k) OVER w, 0) AS n, count(value) OVER w AS born FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT *, n % 2 = 1 AS open FROM s WHERE born > 0), e AS (SELECT *, coalesce(lag(open) OVER w, FALSE) AS was FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+w AS (SELECT *, CAST(sum(CASE WHEN open AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS window_id FROM e)
+SELECT user_id, window_id, coalesce(round(sum(value) FILTER (open), 6), 0) AS sum, count(value) FILTER (open) AS n FROM w GROUP BY ALL HAVING bool_or(NOT open AND was)""")
+def window_by_key_map(spark, d):
+    """Each key's window is that of its group, which opens and closes at alternate purchases of the group."""
+    groups = all_events(spark, d).filter(purchase()).by(g=F.col("user_id") % 10)
+    flips = toggled(groups)
+    return rounded(by_user(spark, d).window(flips, key_map=lambda k: k % 10).reduce(A.Sum("value"), A.Count()), "sum")
+
+
+@query("SELECT user_id % 7 AS part, ts, event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS sum FROM events WHERE user_id % 2 = 0 WINDOW w AS (PARTITION BY user_id % 7 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def rekey(spark, d):
+    """A keyed stream under another key that many old keys share."""
+    out = by_user(spark, d).subset(F.col("user_id") % 2 == 0).by(part=F.col("user_id") % 7).scan(A.Count(), A.Sum("value")).df
+    return rounded(out, "sum").select("part", "ts", "event_id", "n", "sum")
+
+
+@query("SELECT user_id, ts, event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events WHERE event_id % 2 = 0")
+def filter_variant(spark, d):
+    """Values of mixed type, of which the whole numbers are taken."""
+    mixed = F.when(F.col("event_id") % 2 == 0, F.get_json_object("props", "$.k")).otherwise(F.to_json(F.struct("event_type")))
+    s = keyed(table(spark, d, "events"), ["user_id"], "ts", "event_id", "event_type", "props").with_columns(v=F.parse_json(mixed))
+    return s.filter_variant("v", "BIGINT", "k").df.select("user_id", "ts", "event_id", "k")
+
+
+@query("""WITH m AS (SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, 0 AS source, o_orderkey AS seq, o_totalprice AS x FROM orders UNION ALL SELECT CAST(date_trunc('day', ts) AS TIMESTAMP), 1, event_id, value FROM events)
+SELECT source, seq, row_number() OVER (ORDER BY ts, source, seq) AS n FROM m""")
+def merged_sources(spark, d):
+    """Two independent sources in one order; equal times are ordered by source."""
+    x = table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").cast("double").alias("x"))
+    y = table(spark, d, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("x"))
+    out = Stream(merge_sources(x, y), ("ts", "seq")).scan(A.Count()).df
+    return out.select("seq.source", "seq.seq", "n")
+
+
+@query(f"""WITH w AS (SELECT ts, event_id, {', '.join(f"last_value(CASE WHEN event_type = '{t}' THEN value END IGNORE NULLS) OVER {W_ALL} AS {t}" for t in ('click', 'error', 'purchase', 'signup', 'view'))} FROM events)
+SELECT ts, event_id, list_max([click, error, purchase, signup, view]) - list_min([click, error, purchase, signup, view]) AS spread FROM w""")
+def map_vector_general(spark, d):
+    """Any function of all keys' latest values, here the distance between the largest and the smallest."""
+    s = all_events(spark, d).by(event_type=F.col("event_type"))
+    return V.map_vector(s, "value", lambda latest: max(latest.values()) - min(latest.values()), "spread", "double").df
+
+
+@query("SELECT user_id, CAST(i AS BIGINT) AS ts, CAST(i AS BIGINT) AS seq, CAST(user_id * 10 + i AS DOUBLE) AS value FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), generate_series(0, 4) g(i)")
+def lazy_source(spark, d):
+    """A source made for each key that is asked for."""
+    return lazy_vector(all_events(spark, d).filter_type("event_type", "error").by(user_id=F.col("user_id")), lambda k: ((i, i, float(k * 10 + i)) for i in range(5))).df
+
+
+@query("SELECT user_id AS series, ts, value FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, value FROM events)")
+def plot_series(spark, d):
+    return series(by_user(spark, d), "value")
+
+
+@query("SELECT event_type AS key, ts, seq, value FROM (SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS ts, event_type AS value FROM events), (SELECT CAST(0 AS BIGINT) AS seq) WHERE event_type = 'click'")
+def fixed_keys(spark, d):
+    """A fixed set of keys."""
+    return as_vector(spark, ["click"]).df

@@ -76,19 +76,34 @@ def minute_summary(spark, d):
     )
 
 
+def order_events(spark, d):
+    """Openings, fills and ends of orders as one stream per order; events of one time come in that order."""
+    parts = (
+        table(spark, d, "new_orders").where("op = 'new'").select("orderId", "time", F.lit(0).alias("kind"), "seq", F.col("qty").alias("ordered")),
+        one_of_copies(table(spark, d, "fills"), "seq").select("orderId", "time", F.lit(1).alias("kind"), "seq", F.col("qty").alias("filled"), "px"),
+        one_of_copies(table(spark, d, "terminates"), "seq").select("orderId", "time", F.lit(2).alias("kind"), "seq", F.lit(True).alias("ended")),
+    )
+    union = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    union = union.withColumn("order_id", F.upper(F.trim("orderId"))).drop("orderId").where("order_id <> ''")
+    return Stream(union, ("time", "kind", "seq"), ("order_id",))
+
+
 def order_state(spark, d):
     """State per order after all its events: quantity ordered and filled, average price, whether ended."""
-    new = table(spark, d, "new_orders").where("op = 'new'").select(F.upper(F.trim("orderId")).alias("order_id"), "time", "seq", F.col("qty").alias("ordered"))
-    fills = one_of_copies(table(spark, d, "fills"), "seq").select(F.upper(F.trim("orderId")).alias("order_id"), "time", "seq", F.col("qty").alias("filled"), "px")
-    ends = one_of_copies(table(spark, d, "terminates"), "seq").select(F.upper(F.trim("orderId")).alias("order_id"), "time", "seq", F.lit(True).alias("ended"))
-    union = new.unionByName(fills, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
-    s = Stream(union.where("order_id <> ''"), ("time", "seq"), ("order_id",))
-    out = s.reduce(
+    out = order_events(spark, d).reduce(
         A.Max("ordered", "ordered"), A.Sum("filled", "filled"), A.Vwap("px", "filled", "avg_px"), A.CountIf(F.col("filled").isNotNull(), "n_fills"), A.AnyTrue(F.coalesce("ended", F.lit(False)), "ended")
     )
     return out.withColumn("avg_px", F.round("avg_px", 9))
 
 
+def order_state_running(spark, d):
+    """State per order after each of its events."""
+    s = order_events(spark, d)
+    out = s.scan(A.Max("ordered", "ordered_"), A.Sum("filled", "filled_"), A.CountIf(F.col("filled").isNotNull(), "n_fills"), A.AnyTrue(F.coalesce("ended", F.lit(False)), "ended_"))
+    state = F.when(F.col("ended_"), "ended").when(F.col("ordered_").isNull(), "unknown").when(F.col("filled_") >= F.col("ordered_"), "filled").when(F.col("n_fills") > 0, "working").otherwise("new")
+    return out.df.select("order_id", "time", "kind", "seq", F.col("filled_").alias("filled"), "n_fills", state.alias("state"))
+
+
 def volume_while_open(spark, d):
     """Volume of simple trades in a stock while an order in it is open: the window of each order is cut out
     of the running volume of its stock by two as-of lookups, so no trade is copied per order."""
@@ -97,14 +112,15 @@ def volume_while_open(spark, d):
     orders = orders.groupBy(F.upper(F.trim("orderId")).alias("order_id")).agg(F.min("time").alias("a"), F.min_by(stock, F.struct("time", "seq")).alias("k"))
     ends = one_of_copies(table(spark, d, "terminates"), "seq").where("orderId is not null").groupBy(F.upper(F.trim("orderId")).alias("order_id")).agg(F.min("time").alias("z"))
     spans = orders.join(ends, "order_id").where("z > a")
-    ticks = one_of_copies(table(spark, d, "simple_trades"), "seq").where("name is not null").select(F.upper(F.trim("name")).alias("k"), "time", "seq", F.coalesce("qty", F.lit(0.0)).alias("qty"))
+    # in one time, trades come before marks, and marks are told apart by their order
+    at = lambda late, seq, order_id, side: F.struct(F.lit(late).alias("late"), seq.alias("seq"), order_id.alias("order_id"), side.alias("side"))
+    ticks = one_of_copies(table(spark, d, "simple_trades"), "seq").where("name is not null").select(
+        F.upper(F.trim("name")).alias("k"), "time", at(False, F.col("seq"), F.lit(""), F.lit(0)).alias("seq"), F.coalesce("qty", F.lit(0.0)).alias("qty")
+    )
     volume = keyed(ticks, ["k"], "time", "seq", "qty", slice=F.floor(F.col("time") / 3_600_000)).scan_sum("qty", "volume").map(volume=F.col("volume"))
-    # a trade at the very time counts as before an order's opening or closing
-    late = F.lit(2**62).cast("bigint")
     marks = spans.select("k", F.explode(F.array(F.struct(F.col("a").alias("time"), F.lit(0).alias("side")), F.struct(F.col("z").alias("time"), F.lit(1).alias("side")))).alias("m"), "order_id")
-    marks = keyed(marks.select("k", "m.time", (late + F.pmod(F.xxhash64("order_id", "m.side"), F.lit(2**61))).alias("seq"), "order_id", "m.side"), ["k"], "time", "seq", "order_id", "side", slice=F.floor(F.col("time") / 3_600_000))
-    at = take(marks, volume).df
-    out = at.groupBy("order_id").agg(F.sum(F.when(F.col("side") == 1, F.coalesce("volume", F.lit(0.0))).otherwise(-F.coalesce("volume", F.lit(0.0)))).alias("volume"))
+    marks = keyed(marks.select("k", "m.time", at(True, F.lit(0).cast("bigint"), F.col("order_id"), F.col("m.side")).alias("seq"), "order_id", "m.side"), ["k"], "time", "seq", "order_id", "side", slice=F.floor(F.col("time") / 3_600_000))
+    out = take(marks, volume).df.groupBy("order_id").agg(F.sum(F.when(F.col("side") == 1, F.coalesce("volume", F.lit(0.0))).otherwise(-F.coalesce("volume", F.lit(0.0)))).alias("volume"))
     return rounded(out, "volume")
 
 
@@ -142,6 +158,10 @@ SELECT ticker, bucket, arg_max(price, (time, seq)) FILTER (price IS NOT NULL) AS
     "order_state": """WITH f AS (SELECT min(seq) AS seq, time, orderId, px, qty FROM fills GROUP BY time, orderId, px, qty), e AS (SELECT DISTINCT time, orderId FROM terminates),
 u AS (SELECT upper(trim(orderId)) AS order_id, qty AS ordered, NULL AS filled, NULL AS px, FALSE AS ended FROM new_orders WHERE op = 'new' UNION ALL SELECT upper(trim(orderId)), NULL, qty, px, FALSE FROM f UNION ALL SELECT upper(trim(orderId)), NULL, NULL, NULL, TRUE FROM e)
 SELECT order_id, max(ordered) AS ordered, CAST(coalesce(sum(filled), 0) AS DOUBLE) AS filled, round(sum(px * filled) / sum(filled) FILTER (px IS NOT NULL), 9) AS avg_px, count(filled) AS n_fills, bool_or(ended) AS ended FROM u WHERE order_id <> '' GROUP BY order_id""",
+    "order_state_running": """WITH f AS (SELECT min(seq) AS seq, time, orderId, qty FROM fills GROUP BY time, orderId, px, qty), e AS (SELECT min(seq) AS seq, time, orderId FROM terminates GROUP BY time, orderId),
+u AS (SELECT upper(trim(orderId)) AS order_id, time, 0 AS kind, seq, qty AS o, NULL AS q, FALSE AS z FROM new_orders WHERE op = 'new' UNION ALL SELECT upper(trim(orderId)), time, 1, seq, NULL, qty, FALSE FROM f UNION ALL SELECT upper(trim(orderId)), time, 2, seq, NULL, NULL, TRUE FROM e),
+r AS (SELECT order_id, time, kind, seq, max(o) OVER w AS o, CAST(coalesce(sum(q) OVER w, 0) AS DOUBLE) AS filled, count(q) OVER w AS n_fills, bool_or(z) OVER w AS z FROM u WHERE order_id <> '' WINDOW w AS (PARTITION BY order_id ORDER BY time, kind, seq ROWS UNBOUNDED PRECEDING))
+SELECT order_id, time, kind, seq, filled, n_fills, CASE WHEN z THEN 'ended' WHEN o IS NULL THEN 'unknown' WHEN filled >= o THEN 'filled' WHEN n_fills > 0 THEN 'working' ELSE 'new' END AS state FROM r""",
     "volume_while_open": """WITH o AS (SELECT upper(trim(orderId)) AS order_id, min(time) AS a, arg_min(upper(trim(stock)), (time, seq)) AS k FROM new_orders WHERE op = 'new' AND stock IS NOT NULL GROUP BY 1),
 e AS (SELECT upper(trim(orderId)) AS order_id, min(time) AS z FROM terminates WHERE orderId IS NOT NULL GROUP BY 1), s AS (SELECT * FROM o JOIN e USING (order_id) WHERE z > a),
 t AS (SELECT upper(trim(name)) AS k, time, qty, min(seq) AS seq FROM simple_trades WHERE name IS NOT NULL GROUP BY name, time, price, qty),
@@ -154,6 +174,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         accumulated_volume, vwap_per_hundred, pairs_of_pairs, volume_between_big_prints, volume_in_toggled_window, buy_sell_pressure, modal_spread,
-        minute_summary, order_state, volume_while_open, feed_difference,
+        minute_summary, order_state, order_state_running, volume_while_open, feed_difference,
     )
 }

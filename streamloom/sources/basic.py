@@ -24,17 +24,44 @@ def as_vector(spark: SparkSession, keys: Iterable[Any], kind: str = "string", na
     return Stream(spark.createDataFrame(rows, f"{name} {kind}, ts bigint, seq bigint, value {kind}"), keys=(name,))
 
 
-def lazy_vector(keys: Stream, source: Stream) -> Stream:
-    """Streams that come into being for the keys that are asked for: ``source`` kept to them."""
+def lazy_vector(keys: Stream, source: Stream | Callable[..., Iterable[tuple]], schema: str = "ts bigint, seq bigint, value double") -> Stream:
+    """Streams that come into being for the keys that are asked for: ``source`` kept to them, or made for each
+    key by a function that gets the key and returns rows of ``schema``, whose first two columns are the order."""
     from streamloom.operators.vector import key_to_stream
 
-    return key_to_stream(keys, source)
+    if isinstance(source, Stream):
+        return key_to_stream(keys, source)
+    names = list(keys.keys)
+    kinds = dict(keys.df.dtypes)
+    columns = [c.split()[0] for c in schema.split(",")]
+
+    def run(frames):
+        import itertools
+
+        import pandas as pd
+
+        for pdf in frames:
+            for key in pdf[names].itertuples(index=False, name=None):
+                rows = iter(source(*key))
+                while part := list(itertools.islice(rows, 10_000)):
+                    out = pd.DataFrame(part, columns=columns)
+                    for n, k in zip(reversed(names), reversed(key)):
+                        out.insert(0, n, k)
+                    yield out
+
+    asked = keys.df.select(*names).distinct()
+    made = asked.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", " + schema)
+    return Stream(made, tuple(columns[:2]), keys.keys)
 
 
 def timer(spark: SparkSession, start: str, end: str, seconds: int) -> Stream:
     """Ticks from ``start`` on, at ``start`` itself first, up to ``end``."""
-    grid = spark.range(1).select(F.posexplode(F.expr(f"sequence(timestamp_ntz'{start}', timestamp_ntz'{end}', interval {seconds} seconds)")).alias("seq", "ts"))
-    return Stream(grid.select("ts", F.col("seq").cast("bigint").alias("seq")))
+    import datetime as dt
+
+    first, last = dt.datetime.fromisoformat(start), dt.datetime.fromisoformat(end)
+    ticks = spark.range(max(0, int((last - first).total_seconds() // seconds) + 1))
+    at = F.timestamp_add("SECOND", F.col("id") * seconds, F.lit(first).cast("timestamp_ntz"))
+    return Stream(ticks.select(at.alias("ts"), F.col("id").alias("seq")))
 
 
 def on_trigger(trigger: Stream, **columns) -> Stream:
