@@ -56,22 +56,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, d: str, **more) -> tuple[DataFrame, DataFrame]:
     return mix_sources(
         table(spark, d, "documents"), table(spark, d, "mix_targets"), doc_id="doc_id", text="text", source="source",
         language=F.element_at(F.split(F.lower(F.trim("lang")), "-"), 1), languages=["en", "de", "es", "ja"],
-        topic=F.col("namespace").cast("string"), topics=["0", "1", "100"],
+        topic=F.col("namespace").cast("string"), topics=["0", "1", "100"], **more,
     )
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[0]
+    return _mixed(spark, d)[0].select("doc_id", "source", "n_tokens", "repeats")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+LANGUAGE_SHARES = {"en": 0.4, "de": 0.25, "es": 0.25, "ja": 0.05, "other": 0.05}
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with target shares of languages beside those of the sources, as actual shares of both."""
+    chosen = _mixed(spark, d, language_shares=LANGUAGE_SHARES)[0]
+    used = chosen.groupBy("language", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"))
+    total = used.agg(F.sum("n_tokens").alias("__all"))  # one row
+    return used.join(F.broadcast(total)).select("language", "source", "n_tokens", (F.col("n_tokens") / F.col("__all")).alias("actual_share"))
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), item_id="doc_id", text="text")
 
@@ -80,7 +91,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_pieces(spark, d).where("piece = 0").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_matched, p6_found, p7_mix, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_matched, p6_found, p7_mix, p7_shares, p7_languages, p8_found, p8_pieces)}
 _MATCHED = """WITH t AS (SELECT min(seq) AS seq, ticker, time, price FROM trades GROUP BY ticker, time, price, quantity, board, source, buyer, seller, initiator),
 q AS (SELECT ticker, time, min(seq) AS seq, arg_min(bid, seq) AS bid, arg_min(ask, seq) AS ask FROM quotes
   WHERE bid IS NOT NULL AND ask IS NOT NULL AND ticker IS NOT NULL AND time IS NOT NULL GROUP BY ticker, time),
