@@ -36,4 +36,9 @@ def emitted(s: Stream, *columns: str) -> list:
 
 def trace(s: Stream) -> str:
     """The plan that Spark makes of a stream."""
-    return s.df._jdf.queryExecution().explainString(s.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(io.StringIO()) as text:
+        s.df.explain("formatted")
+    return text.getvalue()

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from streamloom.core import Stream
 from streamloom.functions import aggs as A
-from streamloom.functions.folds import EwmaRefFold, SlicedFold, SumFold, WindowFold, scan_fold
+from streamloom.functions.folds import EwmaRefFold, LatestFold, SlicedFold, SumFold, WindowFold, reduce_fold, scan_fold
 from streamloom.operators import vector as V
 from streamloom.operators.bind import bind
 from streamloom.operators.buckets import Every, events
 from streamloom.operators.joins import join, sample, take
 from streamloom.operators.windows import toggled
 from streamloom.order import merge_sources, prefix
-from streamloom.sources.basic import as_vector, from_values, on_trigger, random_walk, read_ticks, timer, with_arrival
-from streamloom.sinks import emitted, series
+from streamloom.sources.basic import as_vector, from_values, lazy_vector, on_trigger, random_walk, read_ticks, timer, with_arrival
+from streamloom.sinks import emitted, out, series, table_view, trace
 
 VALUE = A.Collect("value", "list")
 
@@ -261,3 +261,101 @@ def test_iterator_source(spark):
     register(spark)
     df = spark.read.format("event_iterator").schema("n int").option("module", "builtins").option("function", "range").option("partitions", 3).load()
     assert sorted(r.n for r in df.collect()) == [0, 1, 1, 2, 2, 2]
+
+
+def test_running_folds(spark):
+    """Modes and averages as running values, in a stream, per key and per slice; a NaN is a value, a null none."""
+    nan = float("nan")
+    rows = [("a", 1, 2.0), ("a", 2, 1.0), ("a", 3, 1.0), ("b", 4, 5.0), ("a", 5, 2.0), ("a", 6, 2.0), ("b", 7, None), ("b", 8, nan)]
+    s = Stream(spark.createDataFrame([(k, i, i, v) for k, i, v in rows], "key string, ts bigint, seq bigint, value double"), keys=("key",))
+    whole = s.subset(F.col("key") == "a")
+    assert emitted(whole.scan(A.Mode("value")), "mode") == [2.0, 1.0, 1.0, 1.0, 2.0]
+    assert emitted(whole.group(events(2)).scan(A.Mode("value")), "mode") == [2.0, 1.0, 1.0, 1.0, 2.0]
+    assert emitted(whole.scan(A.Ewma("value", 0.5)), "ewma") == [1.0, 1.0, 1.0, 1.5, 1.75]
+    latest = scan_fold(s.df.where("key = 'b'"), ["key"], s.order, lambda: LatestFold("value"), "last", "double").orderBy("seq").collect()
+    assert latest[0].last == latest[1].last == 5.0 and latest[2].last != latest[2].last
+
+
+def test_bucket_folds(spark):
+    class Log:
+        def __init__(self):
+            self.text = ""
+
+        def add(self, tag, row):
+            self.text += f"{tag}{row[tag]}"
+
+        def close(self):
+            self.text += "."
+
+        def value(self):
+            return self.text
+
+    s = ints(spark, range(7))
+    x, y = s.map(x=F.col("value")), s.every(3).map(y=F.col("value") * 10)
+    got = bind(x, y).group(events(3)).collapse(Log, "log", "string", tags={"y": "y", "x": "x"})
+    assert [r.log for r in got.orderBy("bucket").collect()] == ["y0x0x1x2.", "y30x3x4x5.", "y60x6."]
+    six = bind(x, y).filter(F.col("x") < 6).group(events(3)).collapse(Log, "log", "string", tags={"x": "x"})
+    assert [r.log for r in six.orderBy("bucket").collect()] == ["x0x1x2.", "x3x4x5.", "."]
+    assert reduce_fold(s.df.where("false"), ["seq"], ["ts"], SumFold, "sum", "double").count() == 0
+
+
+def test_empty_slices(spark):
+    s = ints(spark, [1, 2, 3, 4]).map(value=F.col("value"))
+    trigger = Stream(spark.createDataFrame([(0, 0), (1, 10), (1, 11), (3, 12), (9, 9)], "ts bigint, seq bigint"))
+    assert emitted(s.group(trigger).scan(A.Sum("value")), "sum") == [1, 2, 0, 3, 7, 0]
+    assert emitted(s.group(trigger).scan(A.Sum("value"), emit_empty=False), "sum") == [1, 2, 3, 7]
+    assert emitted(s.group(trigger).all(), "value") == [1, 2, 2, 3, 4, 4]
+    per_key = s.by(key=F.col("value") % 2).group(trigger).scan(A.Count())
+    assert [(r.key, r.bucket, r.n) for r in per_key.df.orderBy("key", "bucket", "ts", "seq").collect()] == [
+        (0, 1, 1), (0, 2, 0), (0, 3, 1), (0, 4, 0), (1, 0, 1), (1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 0)]
+    t = lambda m: dt.datetime(2020, 1, 1, 9, m)
+    timed = Stream(spark.createDataFrame([(t(1), 1, 5), (t(8), 3, 7)], "ts timestamp_ntz, seq bigint, v int"))
+    assert [(r.ts, r.sum) for r in timed.group(Every(120)).scan(A.Sum("v")).df.orderBy("bucket").collect()] == [(t(1), 5), (t(5), 0), (t(7), 0), (t(8), 7)]
+
+
+def test_windows_by_key(spark):
+    s = alnum(spark)
+    opened = Stream(spark.createDataFrame([("A", 0, 0, True), ("A", 4, 4, False), ("D", 3, 3, True), ("D", 7, 7, False)], "g string, ts bigint, seq bigint, open boolean"), keys=("g",))
+    assert text(s.window(opened, key_map=lambda k: F.substring(k, 1, 1)).reduce(VALUE), "key") == ["ab", "12"]
+
+
+def test_scan_has_no_window_over_all_rows(spark):
+    """A stream without keys and slices gets slices, so every window over its rows has a partition."""
+    s = ints(spark, range(1000)).map(value=F.col("value"))
+    plan = trace(s.scan(A.Sum("value"), A.First("value"), A.SetOf("value", "set")))
+    windows = [x for x in plan.split("\n") if "windowspecdefinition" in x and "value" in x]
+    assert windows and all("__slice" in x for x in windows)
+    marks = s.filter(F.col("value") % 100 == 0)
+    plan = trace(sample(s.by(key=F.col("value") % 3), marks))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_long_grid(spark):
+    assert timer(spark, "2020-01-01 00:00:00", "2021-01-01 00:00:00", 1).df.count() == 366 * 86_400 + 1
+    s = Stream(spark.createDataFrame([(0, 1, 5), (86_400_000 * 30, 2, 7)], "ts bigint, seq bigint, v int"))
+    r = s.group(Every(1)).reduce(A.Sum("v")).agg(F.count("*"), F.sum("sum")).first()
+    assert tuple(r) == (86_400 * 30 + 1, 12)
+
+
+def test_vector_of_all_keys(spark):
+    s = abc(spark)
+    got = V.map_vector(s, "v", lambda latest: sorted(latest.values())[-1] - sorted(latest.values())[0], "spread", "int")
+    latest, want = {}, []
+    for r in s.df.orderBy("seq").collect():
+        latest[r.key] = r.v
+        want.append(max(latest.values()) - min(latest.values()))
+    assert emitted(got, "spread") == want
+    made = lazy_vector(s, lambda k: [(i, i, k * i) for i in range(3)], "ts bigint, seq bigint, text string")
+    assert sorted((r.key, r.text) for r in made.df.collect()) == sorted((k, k * i) for k in "ABC" for i in range(3))
+
+
+def test_checked_and_printed(spark, capsys):
+    s = abc(spark)
+    assert s.checked().df.count() == 18
+    with pytest.raises(Exception, match="two rows of one key"):
+        Stream(s.df.withColumn("seq", F.lit(1)).withColumn("ts", F.lit(1)), s.order, s.keys).checked().df.collect()
+    assert out("all of it", s, 2) is s
+    printed = capsys.readouterr().out
+    assert printed.startswith("all of it") and "only showing top 2 rows" in printed
+    assert [(r.key, r.v) for r in table_view(s).collect()] == [("A", 5), ("B", 15), ("C", 25)]
+    assert "Physical Plan" in trace(s)
