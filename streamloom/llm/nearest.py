@@ -9,7 +9,7 @@ forward, and the nearer candidate within tolerance is taken.
 Defined cases: of two equally near candidates the earlier is taken, of equal times the smaller right id; a
 left row without candidate comes out with nulls; a left row with a null entity or time too; right rows with
 a null entity or time are no candidates; of left rows equal in all columns but the id only the one with the
-smallest id counts; empty tables are allowed on either side; other columns may have any names.
+smallest id counts (-0.0 equals 0.0 and NaN equals NaN); empty tables are allowed on either side; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -139,9 +139,10 @@ def match_nearest(
 
     # copies are equal in all columns, so also in entity and time: they are neighbours in the sorted partition
     others = [F.col(c) for c in left.columns if c != left_id]
-    l_row = left.select(
-        F.col(entity).alias("ent"), F.col(time).alias("t"), F.lit(False).alias("right"), F.to_json(F.struct(*others)).alias("same"), *[F.col(c).alias(n) for c, n in lefts.items()]
-    )
+    # what is equal in all of them has one hash of 128 bits; the nulls' places are hashed, too, as nulls leave no trace
+    nulls = F.array(*[c.isNull() for c in others])
+    same = F.concat(F.hex(F.xxhash64(nulls, *others)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), *others, nulls)))
+    l_row = left.select(F.col(entity).alias("ent"), F.col(time).alias("t"), F.lit(False).alias("right"), same.alias("same"), *[F.col(c).alias(n) for c, n in lefts.items()])
     l_row = l_row.withColumn("bucket", _bucket(F.col("t"), 0, seconds))
     l_row = l_row.withColumn("salt", F.when(F.col("ent").isNull() | F.col("t").isNull(), F.pmod(F.xxhash64("same"), F.lit(1024))).otherwise(F.lit(0)).cast("int"))
     r_row = right.select(F.col(entity).alias("ent"), F.col(time).alias("t"), F.lit(True).alias("right"), *[F.col(c).alias(n) for c, n in rights.items()])

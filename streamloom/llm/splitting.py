@@ -10,7 +10,8 @@ unread by the tokenizer; all others are tokenized whole.
 
 Defined cases: null and empty texts and texts of at most ``limit`` tokens give no rows; the bodies of a
 text's pieces joined in order are the text; every piece but the first begins with the last ``overlap``
-tokens of the one before (a few more where a character would be torn); a null id comes out as null and
+tokens of the one before (a few more where a character would be torn); a limit that leaves too little beside
+the overlap for any cut is an error; a null id comes out as null and
 repeated rows give repeated pieces; ids of any type are kept, other columns are ignored.
 """
 
@@ -129,8 +130,10 @@ def split_text(text: str, tok, limit: int, overlap: int) -> list[tuple[int, int,
             count = tok.count(text[place[s] : place[b]])
             excess = max(excess, count - limit)
             out.append((int(place[s]), int(place[a]), int(place[b]), count))
-        if excess <= 0 or most <= 16:
+        if excess <= 0:
             return out
+        if most <= 16:
+            raise ValueError(f"no pieces of at most {limit} tokens with {overlap} repeated")
         most = max(16, most - excess)
 
 

@@ -66,3 +66,11 @@ def test_empty(spark):
     left, right = fixture(20, 3)
     assert run(spark, [], right) == set()
     assert {b for _, b in run(spark, left, [])} == {None}
+
+
+def test_copies(spark):
+    """Copies are equal in all columns but the id; -0.0 equals 0.0, and a null is no other column's null."""
+    t = T0
+    left = [(1, "a", t, 0.0, "e", 1), (2, "a", t, -0.0, "e", 1), (3, "a", t, None, "e", 1), (4, "a", t, None, None, 1), (5, "a", t, float("nan"), "e", 1), (6, "a", t, float("nan"), "e", 1), (7, "a", t, 0.0, "e", 2)]
+    got = match_nearest(spark.createDataFrame(left, LEFT), spark.createDataFrame([(9, "a", t, 1.0, True)], RIGHT), entity="who", time="t", left_id="id", right_id="id", tolerance_us=1)
+    assert sorted(r.left_id for r in got.collect()) == [1, 3, 4, 5, 7]
