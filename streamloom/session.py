@@ -30,12 +30,12 @@ _own: dict[str, str] = {}  # folders of our own, by application
 
 def _folder(spark: SparkSession) -> str:
     """This application's folder for kept tables, in the shared folder that the session names in
-    ``spark.checkpoint.dir`` or that was set for the context. Without either, in local mode as in tests, a
+    ``spark.checkpoint.dir`` or that was set for the context. Without either, on one machine as in tests, a
     temporary one; on a cluster that is an error, as no folder is known to be shared."""
     context = spark.sparkContext
     if context.applicationId not in _own:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-        if shared is None and context.master.startswith("local["):
+        if shared is None and context.master.startswith("local"):
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="streamloom-")
