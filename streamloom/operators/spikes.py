@@ -344,11 +344,14 @@ def usual_values(rows: DataFrame, levels: int, fields: int, others: Sequence[str
     by = ["src", "fld", "day", "slice", "sub", "unit", "x", "z"]
     # counts per distinct value, and a row per slice
     counted = rows.mapInArrow(_count_pass(levels, fields, others, flush), _COUNTS).groupBy(*by).agg(F.sum("n").alias("n"))
-    step = F.abs(F.col("x") - F.lag("z").over(Window.partitionBy("src", "fld", "day").orderBy("slice", "sub")))
-    across = counted.where("n = 0").select("src", "fld", "unit", step.alias("x"))
-    across = across.where((F.col("x") > 0) & (F.col("unit").isNull() | (F.col("x") >= F.col("unit") * (1 - 1e-6))))
-    across = across.select("src", "fld", "unit", F.when(F.col("unit").isNull(), F.col("x")).otherwise(F.round(F.col("x") / F.col("unit"), 3)).alias("x"), F.lit(1).cast("bigint").alias("n"))
-    both = counted.where("n > 0").select("src", "fld", "unit", "x", "n").unionByName(across)
+    # the ends of slices (count 0) become the changes between slices, in one pass over the counts; a count of a
+    # value stays as it is, in a partition of its own
+    end = F.col("n") == 0
+    order = Window.partitionBy("src", "fld", "day", F.when(~end, F.col("x"))).orderBy("slice", "sub")
+    step = F.abs(F.col("x") - F.lag("z").over(order))
+    x = F.when(~end, F.col("x")).when(F.col("unit").isNull(), F.col("step")).otherwise(F.round(F.col("step") / F.col("unit"), 3))
+    both = counted.withColumn("step", step).where(~end | ((F.col("step") > 0) & (F.col("unit").isNull() | (F.col("step") >= F.col("unit") * (1 - 1e-6)))))
+    both = both.select("src", "fld", "unit", x.alias("x"), F.greatest("n", F.lit(1)).cast("bigint").alias("n"))
     # ranges of values, a thousandth of a doubling wide: the median's is found from the counts of the ranges
     counts = both.groupBy("src", "fld", "unit", "x").agg(F.sum("n").alias("n")).withColumn("range", F.floor(F.log2("x") * 1024))
     of = Window.partitionBy("src", "fld")
