@@ -364,10 +364,10 @@ def _filter_words(shape: Shape, k: int, bits: int):
     return run
 
 
-def bloom_filter(blocks: DataFrame, shape: Shape, k: int) -> np.ndarray:
-    """A Bloom filter of all the items' grams, 32 bits for each, at most ``MOST_BITS``, as 64-bit words. It is
+def bloom_filter(blocks: DataFrame, shape: Shape, k: int, n: int) -> np.ndarray:
+    """A Bloom filter of all grams of the items' ``n`` blocks, 32 bits for each, at most ``MOST_BITS``, as 64-bit words. It is
     put together by an aggregate; what comes to the driver is the filter itself, ``MOST_BITS / 64`` words at most."""
-    bits = min(MOST_BITS, 1 << max(16, (32 * BLOCK * blocks.count()).bit_length()))
+    bits = min(MOST_BITS, 1 << max(16, (32 * BLOCK * n).bit_length()))
     table = np.zeros(bits // 64, np.uint64)
     found = blocks.select("words").mapInArrow(_filter_words(shape, k, bits), "word int, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     table[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
@@ -398,9 +398,10 @@ def _verified(shape: Shape, least: int, per: int):
     return run
 
 
-def _join_few(facts: DataFrame, dims: DataFrame, key: str, columns: list[str], few: int) -> DataFrame:
-    """Inner join with the items' side: sent to the tasks if it is proven small, else by the split of hot keys."""
-    if has_at_most(dims, few):
+def _join_few(facts: DataFrame, dims: DataFrame, key: str, columns: list[str], few: int, known: int | None = None) -> DataFrame:
+    """Inner join with the items' side: sent to the tasks if it is proven small, be it by a number of rows that
+    is ``known`` not to be passed, else by the split of hot keys."""
+    if (known is not None and known <= few) or has_at_most(dims, few):
         side = F.broadcast(dims.select(F.col(key).alias("__dim_key"), *columns))
         return facts.join(side, F.col(key) == F.col("__dim_key")).drop("__dim_key")
     return join_by_key(facts, dims.withColumn("__there", F.lit(True)), key, [*columns, "__there"]).where("__there").drop("__there")
@@ -424,9 +425,10 @@ def find_leaks(
     blocks = scanned(items, item_id, None)
     of_items = prints_of(blocks)
     dims = of_items.select("h", F.col("text_key").alias("item_key"), F.col("place").alias("item_place")).distinct()
-    chunks = scanned(documents, doc_id, bloom_filter(blocks, shape, k))
+    n = blocks.count()
+    chunks = scanned(documents, doc_id, bloom_filter(blocks, shape, k, n))
 
-    hits = _join_few(prints_of(chunks).distinct(), dims, "h", ["item_key", "item_place"], few)
+    hits = _join_few(prints_of(chunks).distinct(), dims, "h", ["item_key", "item_place"], few, BLOCK * n)
     start = F.col("place") - shape.reach - F.pmod("item_place", F.lit(BLOCK))  # where the item's block with its surroundings begins
     diagonals = hits.select(
         "text_key", F.floor(start / BLOCK).cast("int").alias("part"), F.pmod(start, F.lit(BLOCK)).alias("shift"), F.concat_ws(":", "item_key", F.floor(F.col("item_place") / BLOCK)).alias("block_key")
@@ -435,9 +437,9 @@ def find_leaks(
     words = chunks.groupBy("text_key", "part").agg(F.first("words").alias("words"))
     item_words = blocks.groupBy("text_key", "part").agg(F.first("words").alias("item_words"))
     item_words = item_words.select(F.concat_ws(":", "text_key", "part").alias("block_key"), F.col("text_key").alias("item_key"), "item_words")
-    laid = _join_few(diagonals.join(words, ["text_key", "part"]), item_words, "block_key", ["item_key", "item_words"], few)
+    laid = _join_few(diagonals.join(words, ["text_key", "part"]), item_words, "block_key", ["item_key", "item_words"], few, n)
     pairs = laid.select("text_key", "item_key", "shift", "words", "item_words").mapInArrow(_verified(shape, least, per), "text_key string, item_key string").distinct()
-    named = _join_few(pairs, blocks.select(F.col("text_key").alias("item_key"), F.col("id").alias("item_id")).distinct(), "item_key", ["item_id"], few)
+    named = _join_few(pairs, blocks.select(F.col("text_key").alias("item_key"), F.col("id").alias("item_id")).distinct(), "item_key", ["item_id"], few, n)
     of_texts = durable(named.select("text_key", "item_id").distinct())
     members = chunks.select("text_key", F.col("id").alias("doc_id")).distinct()
     return _join_few(members, of_texts, "text_key", ["item_id"], few).select("doc_id", "item_id").distinct()

@@ -68,7 +68,7 @@ def test_filter(spark):
 
     shape, rng = Shape(30, 6), np.random.default_rng(1)
     words = rng.integers(1, 2**63, (50, shape.width), dtype=np.uint64)
-    table = bloom_filter(spark.createDataFrame([(bytearray(w.tobytes()),) for w in words], "words binary"), shape, 6)
+    table = bloom_filter(spark.createDataFrame([(bytearray(w.tobytes()),) for w in words], "words binary"), shape, 6, len(words))
     mine = np.concatenate([gram_hashes(w[shape.reach : shape.reach + 69], 6) for w in words])
     others = rng.integers(1, 2**63, 20_000, dtype=np.uint64)
     assert len(may_contain(table, mine)) == len(mine) == 3200 and len(may_contain(table, others)) < 100
