@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streamloom.core import Stream
 from streamloom.functions import aggs as A
+from streamloom.operators.windows import toggled
 from streamloom.sinks import trace
 
 
@@ -37,3 +38,39 @@ def test_slices_of_one_trigger_for_all_keys(spark):
         bucket += value > 80
     want |= {(k, b): (0, 0) for k, first in born.items() for b in range(first, bucket + 1) if (k, b) not in want}
     assert {(r.key, r.bucket): (r.sum, r.n) for r in out.collect()} == want and out.count() == len(want)
+
+
+def windows(rows, kept, mark, group=lambda key: 0, marked_by=lambda key: 0):
+    """(key, window_id): (sum, n) of windows that open and close at alternate marks of the key's group. Rows that
+    aren't kept only move the windows."""
+    opened, number, first, out = {}, {}, {}, {}
+    for key, _, seq, value in rows:
+        if mark(value):
+            m = marked_by(key)
+            opened[m] = not opened.get(m, False)
+            number[m] = number.get(m, 0) + opened[m]
+        if seq not in kept:
+            continue
+        g = group(key)
+        n = number.get(g, 0)
+        if key not in first:
+            first[key] = n if opened.get(g) else n + 1
+        if opened.get(g):
+            a = out.get((key, n - first[key] + 1), (0, 0))
+            out[key, n - first[key] + 1] = (a[0] + value, a[1] + 1)
+    closed = {k: number.get(group(k), 0) - opened.get(group(k), False) - a + 1 for k, a in first.items()}
+    return {(k, w): out.get((k, w), (0, 0)) for k, last in closed.items() for w in range(1, last + 1)}
+
+
+def late(rows):
+    """Without the first rows of some keys, so that these begin inside windows, outside, or near the end."""
+    return [r for r in rows if not (r[0] in (1, 2, 3) and r[2] < 60 * r[0] or r[0] == 4 and r[2] < 380)]
+
+
+def test_one_window_for_all_keys(spark):
+    rows, s = some(spark)
+    flips = toggled(Stream(s.df.where("value > 80").drop("key"), s.order))
+    out = Stream(spark.createDataFrame(late(rows), s.df.schema), s.order, s.keys).window(flips).reduce(A.Sum("value"), A.Count())
+    assert emitted_where_made(out)
+    want = windows(rows, {r[2] for r in late(rows)}, lambda v: v > 80)
+    assert {(r.key, r.window_id): (r.sum, r.n) for r in out.collect()} == want and out.count() == len(want)
