@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from streamloom.core import Stream
 from streamloom.functions import aggs as A
+from streamloom.operators import joins
 from streamloom.operators.windows import toggled
 from streamloom.sinks import trace
 
@@ -74,3 +76,24 @@ def test_one_window_for_all_keys(spark):
     assert emitted_where_made(out)
     want = windows(rows, {r[2] for r in late(rows)}, lambda v: v > 80)
     assert {(r.key, r.window_id): (r.sum, r.n) for r in out.collect()} == want and out.count() == len(want)
+
+
+@pytest.mark.parametrize(("block", "blocks"), [(4096, 256), (4, 256), (4, 0)])
+def test_samples_of_all_keys(spark, monkeypatch, block, blocks):
+    """Events in one block, in several, and in too many for a broadcast; some in the cycle of a value."""
+    monkeypatch.setattr(joins, "BLOCK", block, raising=False)
+    monkeypatch.setattr(joins, "BLOCKS", blocks, raising=False)
+    rows, s = some(spark)
+    kept = [r for r in late(rows) if r[3] <= 60 or r[3] % 2]
+    marks = Stream(s.df.where("value > 50").select("ts", "seq", F.col("value").alias("m")), s.order)
+    values = Stream(spark.createDataFrame(kept, s.df.schema).withColumnRenamed("value", "bucket"), s.order, s.keys)
+    out = joins.sample(values, marks)
+    assert emitted_where_made(out.df) and out.df.columns == ["key", "ts", "seq", "bucket"]
+    latest, want = {}, []
+    by_seq = {r[2]: r for r in kept}
+    for _, ts, seq, value in rows:
+        if seq in by_seq:
+            latest[by_seq[seq][0]] = value
+        if value > 50:
+            want += [(k, ts, seq, v) for k, v in latest.items()]
+    assert sorted(map(tuple, out.df.collect())) == sorted(want)
