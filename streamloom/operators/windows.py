@@ -17,6 +17,7 @@ from streamloom.core import Stream
 from streamloom.functions.aggs import Agg
 from streamloom.operators.joins import KeyMap, _fan_out
 from streamloom.order import numbers, prefix, spread
+from streamloom.session import durable
 
 WINDOW = "window_id"
 
@@ -50,26 +51,31 @@ class Windowed:
 
 @dataclass(frozen=True)
 class Shared:
-    """One window for all keys: its edges are numbered once, rows take the number as a latest value, and only
-    what a key must emit without a value (empty windows, opening edges) is made per key from its first
-    window on."""
+    """One window for all keys, or for all keys of a group: its edges are numbered once, rows take the number as a
+    latest value, and only what a key must emit without a value (empty windows, opening edges) is made per key
+    from its first window on."""
 
-    stream: Stream  # with __open, __n (number of the window, over all keys)
-    edges: DataFrame  # order columns, __n of every opening edge
-    closed: DataFrame  # one row: __closed, how many windows close
+    stream: Stream  # with ``by``, __open, __n (number of the window, over all keys)
+    edges: DataFrame  # ``by``, order columns, __n of every opening edge
+    closed: DataFrame  # ``by``, __closed, how many windows close; one row without ``by``
+    by: tuple[str, ...] = ()  # the group of a key
+
+    def _beside(self, df: DataFrame, one: DataFrame) -> DataFrame:
+        """``df`` with what ``one`` has for the group, or for all."""
+        return df.join(one, list(self.by), "left") if self.by else df.join(F.broadcast(one))  # one row
 
     def _first(self) -> DataFrame:
         """Per key the number of its first window, ``__from``, and whether the key was born inside it."""
         s = self.stream
-        born = s.df.groupBy(*s.keys).agg(F.min_by(F.struct("__n", "__open"), F.struct(*s.order)).alias("__b"))
-        return born.select(*s.keys, F.col("__b.__open").alias("__inside"), (F.col("__b.__n") + F.when(F.col("__b.__open"), 0).otherwise(1)).alias("__from"))
+        born = s.df.groupBy(*s.keys, *self.by).agg(F.min_by(F.struct("__n", "__open"), F.struct(*s.order)).alias("__b"))
+        return born.select(*s.keys, *self.by, F.col("__b.__open").alias("__inside"), (F.col("__b.__n") + F.when(F.col("__b.__open"), 0).otherwise(1)).alias("__from"))
 
     def reduce(self, *aggs: Agg) -> DataFrame:
         """Rows of one number are first those inside the window, then those after it. Each of these parts makes the
         empty windows up to the key's next part, so the (keys x windows) rows are only emitted."""
         s = self.stream
-        parts = s.df.groupBy(*s.keys, "__n", "__open").agg(*[a.grouped(s.order).alias(a.name) for a in aggs])
-        parts = spread(parts.join(F.broadcast(self.closed)), s.keys)  # one row
+        parts = s.df.groupBy(*s.keys, *self.by, "__n", "__open").agg(*[a.grouped(s.order).alias(a.name) for a in aggs])
+        parts = spread(self._beside(parts, self.closed), s.keys)
         w = Window.partitionBy(*s.keys).orderBy("__n", F.desc("__open"))
         begins = F.col("__n") + F.when(F.col("__open"), 0).otherwise(1)
         parts = parts.withColumns({"__from": F.first(begins).over(w), "__next": F.lead(F.when(F.col("__open"), F.col("__n") - 1).otherwise(F.col("__n"))).over(w)})
@@ -82,36 +88,47 @@ class Shared:
 
     def scan(self, *aggs: Agg) -> Stream:
         s = self.stream
-        last = self.edges.agg(F.max("__n").alias("__last"))  # one row
+        last = self.edges.groupBy(*self.by).agg(F.max("__n").alias("__last"))
         first = self._first()
-        later = first.join(F.broadcast(last)).withColumn("__a", F.col("__from") + F.col("__inside").cast("int")).where(F.col("__a") <= F.col("__last"))
-        marks = numbers(later, F.col("__a"), F.col("__last"), "__n").select(*s.keys, "__n").join(self.edges, "__n")
-        rows = s.df.where("__open").select(*s.keys, *s.order, "__n", F.struct(*[c for c in s.values if not c.startswith("__")]).alias("__v"))
+        later = self._beside(first, last).withColumn("__a", F.col("__from") + F.col("__inside").cast("int")).where(F.col("__a") <= F.col("__last"))
+        marks = numbers(later, F.col("__a"), F.col("__last"), "__n").select(*s.keys, *self.by, "__n").join(self.edges, [*self.by, "__n"]).drop(*self.by)
+        rows = s.df.where("__open").select(*s.keys, *s.order, "__n", F.struct(*[c for c in s.values if c not in (*self.by, "__open", "__n")]).alias("__v"))
         both = rows.unionByName(marks, allowMissingColumns=True).groupBy(*s.keys, *s.order, "__n").agg(F.first("__v", ignorenulls=True).alias("__v"))
         w = Window.partitionBy(*s.keys, "__n").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
         values = both.select(*s.keys, *s.order, "__n", "__v.*")
         folded = values.withColumns({a.name: a.or_empty(a.finish(a.running().over(w))) for a in aggs})
         out = folded.join(first, list(s.keys)).withColumn(WINDOW, F.col("__n") - F.col("__from") + 1)
-        return replace(s, df=out.drop("__n", "__inside", "__from"))
+        return replace(s, df=out.drop("__n", "__inside", "__from", *self.by))
 
     all = scan
 
 
-def _shared(s: Stream, opened: Stream) -> Shared:
+def _shared(s: Stream, opened: Stream, key_map: KeyMap = None) -> Shared:
     (flag,) = opened.values
-    slice_ = (opened.slice if s.slice is None else s.slice) if (opened.slice if s.slice is None else s.slice) is not None else replace(s, keys=()).sliced().slice
-    changes = opened.df.select(*[F.col(c).alias(n) for c, n in zip(opened.order, s.order)], F.coalesce(flag, F.lit(False)).alias("__flag"))
-    was = prefix(changes, (), s.order, {"__was": ("last", F.col("__flag"), False)}, slice_)
+    by = [f"__g{i}" for i in range(len(opened.keys))]
+    mapped = key_map(*[F.col(k) for k in s.keys]) if by else []
+    mapped = mapped if isinstance(mapped, (list, tuple)) else [mapped]
+    given = s.slice if s.slice is not None or opened.order != s.order else opened.slice
+    slice_ = given if given is not None else replace(s, keys=()).sliced().slice
+    at = [F.col(c).alias(n) for c, n in zip(opened.order, s.order)]
+    if by:
+        changes = opened.df.select(*[F.col(k).alias(g) for k, g in zip(opened.keys, by)], *at, F.col(flag).alias("__flag"))
+        changes = changes.dropna(subset=[*by, "__flag"]).groupBy(*by, *s.order).agg(F.last("__flag").alias("__flag"))
+    else:
+        changes = opened.df.select(*at, F.coalesce(flag, F.lit(False)).alias("__flag"))
+    was = prefix(changes, by, s.order, {"__was": ("last", F.col("__flag"), False)}, slice_)
     before = F.coalesce("__was", F.lit(False))
     marked = was.withColumns({"__edge": (F.col("__flag") & ~before).cast("bigint"), "__close": (~F.col("__flag") & before).cast("bigint")})
-    numbered = prefix(marked, (), s.order, {"__n": ("sum", F.col("__edge"), True)}, slice_)
-    rows = s.df.select(*s.order, F.struct(*s.keys, *s.values).alias("__row"))
-    both = rows.withColumn("__rank", F.lit(1)).unionByName(numbered.select(*s.order, "__flag", F.col("__n").alias("__number"), F.lit(0).alias("__rank")), allowMissingColumns=True)
+    numbered = prefix(marked, by, s.order, {"__n": ("sum", F.col("__edge"), True)}, slice_)
+    if by:  # as many as the input may have, and used several times
+        numbered = durable(numbered.drop("__was"))
+    rows = s.df.select(*[m.alias(g) for m, g in zip(mapped, by)], *s.order, F.struct(*s.keys, *s.values).alias("__row"))
+    both = rows.withColumn("__rank", F.lit(1)).unionByName(numbered.select(*by, *s.order, "__flag", F.col("__n").alias("__number"), F.lit(0).alias("__rank")), allowMissingColumns=True)
     latest = {"__open": ("last", F.col("__flag"), True), "__n": ("last", F.col("__number"), True)}
-    both = prefix(both, (), (*s.order, "__rank"), latest, slice_).where("__rank = 1")
-    out = both.select(*s.order, "__row.*", F.coalesce("__open", F.lit(False)).alias("__open"), F.coalesce("__n", F.lit(0)).cast("bigint").alias("__n"))
-    closed = marked.agg(F.coalesce(F.sum("__close"), F.lit(0)).alias("__closed"))
-    return Shared(s.with_df(out.select(*s.df.columns, "__open", "__n")), numbered.where("__edge = 1").select(*s.order, "__n"), closed)
+    both = prefix(both, by, (*s.order, "__rank"), latest, slice_).where("__rank = 1")
+    out = both.select(*by, *s.order, "__row.*", F.coalesce("__open", F.lit(False)).alias("__open"), F.coalesce("__n", F.lit(0)).cast("bigint").alias("__n"))
+    closed = numbered.groupBy(*by).agg(F.coalesce(F.sum("__close"), F.lit(0)).alias("__closed"))
+    return Shared(s.with_df(out.select(*s.df.columns, *by, "__open", "__n")), numbered.where("__edge = 1").select(*by, *s.order, "__n"), closed, tuple(by))
 
 
 def window(s: Stream, opened: Stream | Column, key_map: KeyMap = None) -> Windowed | Shared:
@@ -119,8 +136,8 @@ def window(s: Stream, opened: Stream | Column, key_map: KeyMap = None) -> Window
     one for all keys; ``key_map`` tells which key of ``opened`` belongs to each key of ``s``. A key exists from its first value on; windows that closed before are none of its own."""
     if isinstance(opened, Column):
         rows = s.with_columns(__flag=opened, __on=F.lit(True))
-    elif s.keys and not opened.keys:
-        return _shared(s, opened)
+    elif s.keys and (not opened.keys or key_map is not None):
+        return _shared(s, opened, key_map)
     else:
         (flag,) = opened.values
         marks = _fan_out(s, opened, key_map).withColumnRenamed(flag, "__flag").select(*s.keys, *s.order, "__flag")

@@ -586,7 +586,7 @@ def window_by_key_map(spark, d):
     """Each key's window is that of its group, which opens and closes at alternate purchases of the group."""
     groups = all_events(spark, d).filter(purchase()).by(g=F.col("user_id") % 10)
     flips = toggled(groups)
-    return rounded(by_user(spark, d).window(flips, key_map=lambda k: k % 10).reduce(A.Sum("value"), A.Count()), "sum")
+    return rounded(by_user(spark, d).map(value=F.col("value")).window(flips, key_map=lambda k: k % 10).reduce(A.Sum("value"), A.Count()), "sum")
 
 
 @query("SELECT user_id % 7 AS part, ts, event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS sum FROM events WHERE user_id % 2 = 0 WINDOW w AS (PARTITION BY user_id % 7 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")

@@ -47,7 +47,7 @@ def windows(rows, kept, mark, group=lambda key: 0, marked_by=lambda key: 0):
     aren't kept only move the windows."""
     opened, number, first, out = {}, {}, {}, {}
     for key, _, seq, value in rows:
-        if mark(value):
+        if mark(key, value):
             m = marked_by(key)
             opened[m] = not opened.get(m, False)
             number[m] = number.get(m, 0) + opened[m]
@@ -74,7 +74,7 @@ def test_one_window_for_all_keys(spark):
     flips = toggled(Stream(s.df.where("value > 80").drop("key"), s.order))
     out = Stream(spark.createDataFrame(late(rows), s.df.schema), s.order, s.keys).window(flips).reduce(A.Sum("value"), A.Count())
     assert emitted_where_made(out)
-    want = windows(rows, {r[2] for r in late(rows)}, lambda v: v > 80)
+    want = windows(rows, {r[2] for r in late(rows)}, lambda k, v: v > 80)
     assert {(r.key, r.window_id): (r.sum, r.n) for r in out.collect()} == want and out.count() == len(want)
 
 
@@ -97,3 +97,21 @@ def test_samples_of_all_keys(spark, monkeypatch, block, blocks):
         if value > 50:
             want += [(k, ts, seq, v) for k, v in latest.items()]
     assert sorted(map(tuple, out.df.collect())) == sorted(want)
+
+
+def test_one_window_for_the_keys_of_a_group(spark):
+    """By two groups, which have marks of their own; one key's group has none. Running values are those of the
+    windows that are copied for each key."""
+    rows, s = some(spark)
+    group = lambda k: k % 3
+    flips = toggled(s.filter((F.col("value") > 70) & (F.col("key") % 3 < 2)).by(g=F.col("key") % 3))
+    few = Stream(spark.createDataFrame(late(rows), s.df.schema), s.order, s.keys)
+    out = few.window(flips, key_map=group).reduce(A.Sum("value"), A.Count())
+    assert emitted_where_made(out)
+    mark = lambda key, value: value > 70 and key % 3 < 2
+    want = windows(rows, {r[2] for r in late(rows)}, mark, group, group)
+    assert {(r.key, r.window_id): (r.sum, r.n) for r in out.collect()} == want and out.count() == len(want)
+    copied = Stream(joins._fan_out(few, flips, group), s.order, s.keys)
+    columns = ["key", "ts", "seq", "value", "window_id", "sum"]
+    got, by_key = (sorted(map(str, w.scan(A.Sum("value")).df.select(*columns).collect())) for w in (few.window(flips, key_map=group), few.window(copied)))
+    assert got == by_key
